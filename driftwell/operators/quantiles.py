@@ -1,0 +1,104 @@
+"""Percentiles per group of very large columns: combinable day states and distributed multi-select."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from driftwell.session import stage
+
+SMALL = 4096  #: distinct values of a group that one task may sort
+PROPOSERS = 64  #: parts of a group that propose a local median
+
+
+def quantized(value: Column, eps: float) -> Column:
+    """``value`` on a grid of relative width ``eps``: off by at most ``eps`` times its size; 0, infinities exact, ``eps`` 0 all exact."""
+    if eps == 0:
+        return value
+    width = math.log1p(eps)
+    near = F.signum(value) * F.exp(F.round(F.log(F.abs(value)) / width) * width)
+    return F.when((value == 0) | (F.abs(value) == float("inf")), value).otherwise(near)
+
+
+def day_states(df: DataFrame, value: str, *, key: str = "state_key", time: str = "event_time", eps: float = 0.0) -> DataFrame:
+    """``(key, day, value, n)``: the value counts of each key and UTC day (days since the epoch).
+
+    With ``eps`` > 0 a state holds at most one value per grid cell, however many rows there are. Null
+    and NaN values are left out, infinities stay; the null key is a group, and so is the null day.
+    """
+    v = F.col(value).cast("double")
+    day = F.floor(F.unix_micros(time) / 86_400_000_000)
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.col(key).alias("key"), day.alias("day"), (quantized(v, eps) + 0.0).alias("value"))
+    return rows.groupBy("key", "day", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def combine_days(states: DataFrame) -> DataFrame:
+    """``(key, value, n)``: the states of any days (or partitions) as one; the order of combining doesn't matter."""
+    return states.groupBy("key", "value").agg(F.sum("n").alias("n"))
+
+
+def _pick(active: DataFrame) -> DataFrame:
+    """The value at rank ``_k`` of each (key, p): groups of few values, by cumulative counts."""
+    w = Window.partitionBy("key", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    c = F.sum("n").over(w)
+    return active.withColumn("_c", c).where((F.col("_c") >= F.col("_k")) & (F.col("_c") - F.col("n") < F.col("_k"))).select("key", "p", "value")
+
+
+def multi_select(state: DataFrame, probs: list[float], *, small: int = SMALL, proposers: int = PROPOSERS) -> DataFrame:
+    """``(key, p, value, n)``: for each group and probability the least value whose cumulative count reaches ``p * n``.
+
+    Distributed multi-select over a value-count state. Every part of a group proposes the median of its
+    values still in range; the median of the proposals, weighted by the parts' counts, is the pivot; the
+    values in range are counted below, at and above it; the range that can't hold the wanted rank is
+    discarded, and the remaining values are written for the next round, which so reads ever less. A
+    group with at most ``small`` distinct values left is finished by cumulative counts. No task sees more
+    of a group than a part or ``small`` values; the driver sees one number per round.
+
+    ``n`` is the group's count. Ties are one value; the result is exact for the state's values.
+    """
+    state = stage(state)
+    totals = state.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_d"))
+    want = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p")) for p in probs)))
+    targets = totals.select("key", "total", "_d", want.alias("_w")).select("key", "total", "_d", F.col("_w.p").alias("p"))
+    targets = stage(targets.withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("total"))).cast("long")).withColumn("_lo", F.lit(None).cast("double")).withColumn("_hi", F.lit(None).cast("double")))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+
+    def in_range(rows: DataFrame, t: DataFrame) -> DataFrame:
+        t = t.withColumnRenamed("key", "_key")
+        inside = (F.col("_lo").isNull() | (F.col("value") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("value") < F.col("_hi")))
+        return rows.join(t, same("key", "_key") & inside).drop("_key")
+
+    found = [_pick(in_range(state, targets.where(F.col("_d") <= small)))]
+    open_, rows = targets.where(F.col("_d") > small), state
+    while open_.limit(1).count():
+        # Distinct targets of a key keep their own ranges; a value in several is carried once per target.
+        rows = stage(in_range(rows.select("key", "value", "n").distinct(), open_).select("key", "value", "n", "p", "_k", "_lo", "_hi"))
+        local = rows.groupBy("key", "p", F.pmod(F.xxhash64("value"), F.lit(proposers)).alias("_part")).agg(F.percentile_approx("value", 0.5, 200).alias("_m"), F.sum("n").alias("_w"))
+        w = Window.partitionBy("key", "p")
+        local = local.withColumn("_all", F.sum("_w").over(w)).withColumn("_upto", F.sum("_w").over(w.orderBy("_m", "_part").rowsBetween(Window.unboundedPreceding, 0)))
+        pivots = local.where(2 * F.col("_upto") >= F.col("_all")).groupBy(F.col("key").alias("_pk"), F.col("p").alias("_pp")).agg(F.min("_m").alias("_pivot"))
+        v, m = F.col("value"), F.col("_pivot")
+        counted = rows.join(pivots, same("key", "_pk") & (F.col("p") == F.col("_pp"))).groupBy("key", "p", "_k", "_lo", "_hi", "_pivot").agg(
+            F.sum(F.when(v < m, F.col("n")).otherwise(0)).alias("_lt"), F.sum(F.when(v == m, F.col("n")).otherwise(0)).alias("_eq"),
+            F.count_if(v < m).alias("_dlt"), F.count_if(v > m).alias("_dgt"))
+        k, lt, le = F.col("_k"), F.col("_lt"), F.col("_lt") + F.col("_eq")
+        below, at = k <= lt, (k > lt) & (k <= le)
+        nxt = stage(counted.select("key", "p", at.alias("_at"), m.alias("_pivot"), F.when(below, k).otherwise(k - le).alias("_k"), F.when(below, F.col("_lo")).otherwise(m).alias("_lo"), F.when(below, m).otherwise(F.col("_hi")).alias("_hi"), F.when(below, F.col("_dlt")).otherwise(F.col("_dgt")).alias("_d")))
+        found.append(nxt.where("_at").select("key", "p", F.col("_pivot").alias("value")))
+        left = nxt.where("NOT _at").select("key", "p", "_k", "_lo", "_hi", "_d")
+        own = rows.select("key", "value", "n", F.col("p").alias("_rp")).distinct()
+        done = left.where(F.col("_d") <= small)
+        found.append(_pick(in_range(own, done).where(F.col("_rp") == F.col("p")).drop("_rp")))
+        open_ = left.where(F.col("_d") > small)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    t = targets.select(F.col("key").alias("_tk"), F.col("p").alias("_tp"), "total")
+    return out.join(t, same("key", "_tk") & (F.col("p") == F.col("_tp"))).select("key", "p", "value", F.col("total").alias("n"))
+
+
+def percentiles(df: DataFrame, value: str, probs: list[float], *, key: str = "state_key", time: str = "event_time", eps: float = 0.0, **options: int) -> DataFrame:
+    """Percentiles per key from day states: ``(key, p, value, n)``, off by at most ``eps`` times the value's size."""
+    return multi_select(combine_days(day_states(df, value, key=key, time=time, eps=eps)), probs, **options)
