@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import packing
+from driftwell.llm import encoding, packing
 from driftwell.sources import table
 
 
@@ -24,5 +24,13 @@ def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p7_packs(spark, d), table(spark, d, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_packs, p7_utilisation)}
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_restored(spark, d).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_packs, p7_utilisation, p9_found, p9_restored)}
 SQL = {"p7_found": P7_FOUND}
