@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import encoding, packing
+from driftwell.llm import encoding, leaks, packing
 from driftwell.sources import table
 
 
@@ -24,6 +24,14 @@ def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p7_packs(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(table(spark, d, "documents"))
 
@@ -32,5 +40,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_packs, p7_utilisation, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_packs, p7_utilisation, p8_found, p8_leaks, p9_found, p9_restored)}
 SQL = {"p7_found": P7_FOUND}
