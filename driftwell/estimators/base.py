@@ -68,6 +68,7 @@ class KeyedTransformer(Transformer, Persistent):
     """
 
     default_key = "driftwell.default"
+    hands_watermark_on = False  #: whether an event-time operator follows in a stream
 
     def model(self) -> runtime.KeyedModel:
         """The numeric model for the runtime."""
@@ -107,7 +108,7 @@ class KeyedTransformer(Transformer, Persistent):
         if df.isStreaming:
             if self.isSet(self.watermarkDuration):
                 rows = rows.withWatermark(runtime.TIME, self.opt("watermarkDuration"))
-            out = runtime.stream(rows, model, self.opt("timeoutMode"), self._duration_ms(df))
+            out = runtime.stream(rows, model, self.opt("timeoutMode"), self._duration_ms(df), self.hands_watermark_on)
         else:
             out = runtime.batch(rows, model)
         out = out.withColumnRenamed(runtime.KEY, self.opt("stateKeyCol") or "stateKey")

@@ -232,6 +232,10 @@ class _Kalman(KeyedTransformer):
     def model(self) -> runtime.KeyedModel:
         return KalmanModel(self.core(), **self._options(self._wants_likelihood()))
 
+    @property
+    def hands_watermark_on(self) -> bool:
+        return bool(self.opt("multipleModelAdaptiveEstimationEnabled") and self.isSet(self.multipleModelMeasurementWindowDuration))
+
     def _check(self, df: DataFrame) -> None:
         super()._check(df)
         if self.opt("multipleModelAdaptiveEstimationEnabled"):

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from driftwell.session import _starts
 
 CHUNK_ROWS = 100_000
-KEY, TIME, TIE = "_key", "_time", "_tie"
+KEY, TIME, TIE = "key__", "time__", "tie__"  #: no leading underscore: rows of the state store become named tuples
 MAT = pa.struct([("numRows", pa.int32()), ("numCols", pa.int32()), ("values", pa.list_(pa.float64()))])
 GAU = pa.struct([("mean", pa.list_(pa.float64())), ("covariance", MAT)])
 
@@ -187,9 +187,9 @@ def spark_schema(model: KeyedModel) -> T.StructType:
 
 
 def batch(df: DataFrame, model: KeyedModel, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """Run the model over a batch table with columns ``_key, _time``, maybe ``_tie``, and the model's own.
+    """Run the model over a batch table with columns ``KEY, TIME``, maybe ``TIE``, and the model's own.
 
-    One shuffle by key. Rows go by time (nulls first), then ``_tie``. Null keys are one key.
+    One shuffle by key. Rows go by time (nulls first), then ``TIE``. Null keys are one key.
     """
     order = [TIME, *([TIE] if TIE in df.columns else [])]
 
@@ -225,11 +225,12 @@ def batch(df: DataFrame, model: KeyedModel, chunk: int = CHUNK_ROWS) -> DataFram
     return df.repartition(KEY).sortWithinPartitions(KEY, *order).mapInArrow(run, spark_schema(model))
 
 
-def stream(df: DataFrame, model: KeyedModel, timeout: str = "none", duration_ms: int | None = None) -> DataFrame:
+def stream(df: DataFrame, model: KeyedModel, timeout: str = "none", duration_ms: int | None = None, keep_event_time: bool = False) -> DataFrame:
     """Run the model over a stream: the state of each key lives in the state store between micro-batches.
 
     ``timeout``: ``none``; ``process``, drop a state ``duration_ms`` after its last row; ``event``, drop it when the watermark
     passes its last event time plus ``duration_ms``. A dropped state emits nothing; later rows start anew.
+    ``keep_event_time`` hands the watermark on, for event-time operators that follow; output rows must not be older.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -287,7 +288,7 @@ def stream(df: DataFrame, model: KeyedModel, timeout: str = "none", duration_ms:
             pass
 
     mode = {"none": "None", "process": "ProcessingTime", "event": "EventTime"}[timeout]
-    return df.groupBy(KEY).transformWithStateInPandas(Processor(), outputStructType=out, outputMode="Append", timeMode=mode)
+    return df.groupBy(KEY).transformWithStateInPandas(Processor(), outputStructType=out, outputMode="Append", timeMode="EventTime" if keep_event_time else mode, eventTimeColumnName=TIME if keep_event_time else "")
 
 
 def typed(table: pa.Table, model: KeyedModel) -> pa.Table:

@@ -1,0 +1,5 @@
+"""Sources and sinks for streams of keyed readings."""
+
+from driftwell.streaming.io import drain, folder_stream, rate_readings, to_console, to_folder
+
+__all__ = ["drain", "folder_stream", "rate_readings", "to_console", "to_folder"]

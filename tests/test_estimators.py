@@ -231,8 +231,8 @@ def test_long_keys_carry_their_state_over_chunks(spark):
     df = frame(spark, rows)
     whole = {(r["k"], r["stateIndex"]): r["state"]["mean"] for r in f.transform(df).collect()}
     cols = f.inputs(df)
-    small = runtime.batch(df.select(F.col("k").alias("_key"), F.col("ts").alias("_time"), *(c.alias(n) for n, c in cols.items())), f.model(), chunk=60).collect()
-    assert len(small) == 500 and all(np.allclose(whole[(r["_key"], r["stateIndex"])], r["state"]["mean"]) for r in small)
+    small = runtime.batch(df.select(F.col("k").alias(runtime.KEY), F.col("ts").alias(runtime.TIME), *(c.alias(n) for n, c in cols.items())), f.model(), chunk=60).collect()
+    assert len(small) == 500 and all(np.allclose(whole[(r[runtime.KEY], r["stateIndex"])], r["state"]["mean"]) for r in small)
 
 
 def test_mixed_sizes_nulls_and_empty_tables(spark):
