@@ -55,6 +55,11 @@ class KalmanModel(runtime.KeyedModel):
             return rows["H"].shape[2]
         return max(1, rows["z"].shape[1])
 
+    def kind_of(self, first):
+        x = first.get("initial")
+        mean = x["mean"] if x is not None else first.get("x0")
+        return 0 if mean is None or self.size else len(mean)
+
     def begin(self, rows, first, n):
         size = self._state_size(rows, first)
         base = {k: np.asarray(self.constants[k], float) if self.constants.get(k) is not None else d for k, d in (("x0", np.zeros(size)), ("P0", np.eye(size)))}
@@ -81,6 +86,11 @@ class KalmanModel(runtime.KeyedModel):
             state |= {"qx": np.zeros((n, k, size)), "qP": np.zeros((n, k, size, size)), "qF": np.zeros((n, k, size, size)), "qQ": np.zeros((n, k, size, size)), "qi": np.zeros((n, k), np.int64), "qn": np.zeros(n, np.int64)}
         return state
 
+    def _free(self, k: str) -> bool:
+        """Whether a model may have another shape than its default, for user functions to take."""
+        names = {"F": ("process_fn",), "H": ("measurement_fn",), "Q": ("process_noise_jacobian",), "R": ("measurement_noise_jacobian",)}[k]
+        return any(getattr(self.core, n, None) is not None for n in names)
+
     def _row(self, rows: dict[str, Any], n: int, size: int) -> dict[str, np.ndarray]:
         m = rows["z"].shape[1]
         default = {"F": np.eye(size), "Q": np.eye(size), "H": np.eye(m, size), "R": np.eye(m)}
@@ -90,10 +100,10 @@ class KalmanModel(runtime.KeyedModel):
             full = np.broadcast_to(c, (n, *c.shape))
             if k in rows and rows[k].size:
                 ok = rows[f"{k}?"]
-                if rows[k].shape[1:] == c.shape or ok.all():
+                if rows[k].shape[1:] == c.shape:
                     full = rows[k] if ok.all() else np.where(ok[:, None, None], rows[k], full)
-                else:  # rows without the model take the default of the shape of the others
-                    full = np.where(ok[:, None, None], rows[k], np.eye(*rows[k].shape[1:]))
+                elif self._free(k) and ok.all():  # functions may take models of any shape
+                    full = rows[k]
             out[k] = full
         if "u" in rows and "B" in rows and rows["u"].shape[1] and rows["B"].shape[2] == rows["u"].shape[1]:
             ok = rows["u?"] & rows["B?"]
@@ -271,7 +281,7 @@ class LinearKalmanFilter(_Kalman):
     Output: key, ``stateIndex``, ``stepIndex`` (0, or 1.. for multi-step predictions), ``state`` (mean, covariance), and by
     option ``residual``, ``loglikelihood``, ``mahalanobis``, ``slidingLikelihood`` and the system matrices; event time. A null
     measurement (or one of another size than the key's others) only predicts; residual and its scores are null then.
-    Null entries of a model column fall back to the constant parameter or its default.
+    Model columns that are null or of a wrong shape in a row fall back to the constant parameter or its default there.
     """
 
     default_key = "filter.linearKalman"

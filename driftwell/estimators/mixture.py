@@ -68,14 +68,19 @@ class MixtureModel(runtime.KeyedModel):
         state = {"index": np.zeros(n, np.int64), "n": np.zeros(n, np.int64), "w": weights, "sw": weights.copy(), "buffer": np.zeros((n, self._room, *width))}
         return state | {f"m_{k}": v for k, v in params.items()} | {f"s_{k}": v for k, v in summary.items()}
 
-    @staticmethod
-    def fit(into, value, at):
-        if into.ndim > 1 and value.ndim > 1 and into.shape[2:] == value.shape[2:] and into.shape[1] != value.shape[1]:
-            grown = np.zeros((into.shape[0], max(into.shape[1], value.shape[1]), *into.shape[2:]))
-            grown[:, : into.shape[1]] = into
-            grown[at, : value.shape[1]] = value[0]
-            return grown
-        return runtime.KeyedModel.fit(into, value, at)
+    def kind_of(self, first):
+        m = first.get("model")
+        if m is not None and m["distributions"]:
+            return len(m["distributions"]) * 1000 + (len(m["distributions"][0]["mean"]) if self.family == "gaussian" else 0)
+        a = first.get("a") or self.o["a"]
+        return 0 if a is None else len(a) * 1000 + (len(a[0]) if self.family == "gaussian" else 0)
+
+    def resume(self, carry):
+        state = super().resume(carry)
+        held = state["buffer"]
+        if held.shape[1] < self._room:
+            state["buffer"] = np.concatenate([held, np.zeros((1, self._room - held.shape[1], *held.shape[2:]))], axis=1)
+        return state
 
     def _lockstep(self, part, size, starts, sizes, carry):
         # The buffer must be as long as the longest minibatch that can fill up here.

@@ -95,6 +95,14 @@ class KeyedModel:
         """States of ``n`` keys from their first rows."""
         raise NotImplementedError
 
+    def kind_of(self, first: dict[str, Any]) -> int:
+        """A number that keys of the same state sizes share, from the objects of a key's first row."""
+        return 0
+
+    def resume(self, carry: State) -> State:
+        """The state of the one key that goes on."""
+        return {n: a.copy() for n, a in carry.items()}
+
     def step(self, state: State, rows: dict[str, Any]) -> list[tuple[np.ndarray, dict[str, Any]]]:
         """Advance in place; give blocks of (positions of the keys that emit, arrays by output field)."""
         raise NotImplementedError
@@ -110,6 +118,11 @@ class KeyedModel:
         cols = {c: table.column(c).combine_chunks() for c in self.columns}
         sizes = np.diff(np.r_[starts, table.num_rows])
         measures = [np.maximum.reduceat(lengths(cols[c], k), starts) for c, k in self.columns.items() if k in ("vector", "matrix")]
+        objects = {c: cols[c].take(pa.array(starts)).to_pylist() for c, k in self.columns.items() if k == "object"}
+        if objects:
+            measures.append(np.array([self.kind_of({c: v[g] for c, v in objects.items()}) for g in range(len(starts))], np.int64))
+        if carry is not None:  # the key that goes on has its state already
+            measures.append(np.r_[1, np.zeros(len(starts) - 1, np.int64)])
         shape = np.stack(measures, axis=1) if measures else np.zeros((len(starts), 0), np.int64)
         kinds, which = np.unique(shape, axis=0, return_inverse=True)
         which = which.reshape(-1)
@@ -119,7 +132,7 @@ class KeyedModel:
             rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in groups]) if len(groups) < len(starts) else None
             part = {c: v if rows is None else v.take(pa.array(rows)) for c, v in cols.items()}
             local = np.r_[0, np.cumsum(sizes[groups])[:-1]]
-            made, end = self._lockstep(part, dict(zip((c for c, kd in self.columns.items() if kd in ("vector", "matrix")), kinds[k].tolist(), strict=True)), local, sizes[groups], carry if groups[0] == 0 else None)
+            made, end = self._lockstep(part, dict(zip((c for c, kd in self.columns.items() if kd in ("vector", "matrix")), kinds[k].tolist(), strict=False)), local, sizes[groups], carry if groups[0] == 0 else None)
             if made is not None:
                 at = made.column("_row").to_numpy()
                 source = pa.array(at if rows is None else rows[at])
@@ -146,11 +159,7 @@ class KeyedModel:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         firsts = {c: part[c].take(pa.array(starts)).to_pylist() for c, k in self.columns.items() if k == "object"}
-        state = self.begin({c: v[starts] for c, v in rows.items()}, firsts, len(starts))
-        resumed = int(np.flatnonzero(order == 0)[0]) if carry is not None else -1
-        if carry is not None:
-            for name, v in carry.items():
-                state[name] = self.fit(state[name], v, resumed)
+        state = self.begin({c: v[starts] for c, v in rows.items()}, firsts, len(starts)) if carry is None else self.resume(carry)
         blocks: list[tuple[np.ndarray, dict[str, Any]]] = []
         for t in range(int(sizes[0])):
             g = int(np.searchsorted(-sizes, -t, "left"))
@@ -167,14 +176,6 @@ class KeyedModel:
         table = pa.table([pa.array(row), *(self.encode(f.name, [b[1][f.name] for b in blocks]).cast(f.type) for f in self.output)], names=["_row", *(f.name for f in self.output)])
         return table.take(pa.array(np.argsort(row, kind="stable"))), last
 
-    @staticmethod
-    def fit(into: np.ndarray, value: np.ndarray, at: int) -> np.ndarray:
-        """``into`` with ``value`` (of one key) at ``at``."""
-        if into.shape[1:] != value.shape[1:]:
-            raise ValueError(f"a key's vectors changed their size from {value.shape[1:]} to {into.shape[1:]}")
-        into[at : at + 1] = value
-        return into
-
 
 def output_schema(model: KeyedModel, key: pa.DataType) -> pa.Schema:
     return pa.schema([pa.field(KEY, key), *model.output, pa.field(TIME, pa.timestamp("us", tz="UTC"))])
