@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
-NEVER = -(2**63)
+NEVER = -4_000_000_000_000_000_000  #: arrival of rows without one, far before all others
 
 
 def with_frontier(rows: DataFrame, *, key: str = "state_key", time: str = "event_time", arrival: str = "arrival_time", tie: str = "record_id", cutoff_s: int = 7200, bucket_us: int = HOUR) -> DataFrame:
@@ -18,7 +18,7 @@ def with_frontier(rows: DataFrame, *, key: str = "state_key", time: str = "event
     two-level scan: within (key, arrival bucket), and over the buckets' maxima. A hot key is so cut by time,
     and what is sorted per key is one number per bucket. Other columns pass through.
     """
-    own = ("_event", "_at", "_arrived", "frontier", "is_late", "out_of_order", "_before")
+    own = ("_event", "_at", "_arrived", "frontier", "is_late", "out_of_order", "_before", "_inside", "_top")
     rows = rows.drop(*(c for c in own if c in rows.columns and c not in (key, time, arrival, tie)))
     rows = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     rows = rows.withColumn("_event", F.unix_micros(time)).withColumn("_at", F.coalesce(F.unix_micros(arrival), F.lit(NEVER)))
