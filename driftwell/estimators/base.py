@@ -5,7 +5,6 @@ from __future__ import annotations
 
 
 from pyspark.ml import Transformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import MatrixUDT, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from driftwell import runtime
 from driftwell.estimators.params import Persistent, Spec, declare, one_of
 from driftwell.functions.matrices import array_to_matrix, matrix_to_array
+from driftwell.functions.vectors import array_to_vector, vector_to_array
 
 MAT_DDL = "struct<numRows:int,numCols:int,values:array<double>>"
 GAU_DDL = f"struct<mean:array<double>,covariance:{MAT_DDL}>"

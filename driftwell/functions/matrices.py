@@ -81,8 +81,10 @@ def rand_multi_gaussian(mean, covariance, seed: int = 0) -> Column:
     mean, cov = np.asarray(mean.toArray() if hasattr(mean, "toArray") else mean, float), np.asarray(covariance.toArray() if hasattr(covariance, "toArray") else covariance, float)
     root = np.linalg.cholesky(cov)
     z = [F.randn(seed + i) for i in range(len(mean))]
-    draw = F.array(*z)
-    return array_to_vector(F.transform(F.array(*(F.struct(F.lit(float(mean[i])).alias("m"), F.array(*(F.lit(float(v)) for v in root[i])).alias("r")) for i in range(len(mean)))), lambda row: row["m"] + F.aggregate(F.zip_with(row["r"], draw, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    rows = F.array(*(F.struct(F.lit(float(mean[i])).alias("m"), F.array(*(F.lit(float(v)) for v in root[i])).alias("r")) for i in range(len(mean))))
+    # The draw is bound as a lambda's variable, so that all entries see the same one.
+    sample = lambda draw: F.transform(rows, lambda row: row["m"] + F.aggregate(F.zip_with(row["r"], draw, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return array_to_vector(F.get(F.transform(F.array(F.array(*z)), sample), F.lit(0)))
 
 
 def rand_multi_gaussian_with_col(mean: Column | str, covariance: Column | str, size: int, seed: int = 0) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector as _to_vector
-from pyspark.ml.functions import vector_to_array as _to_array
+from pyspark.ml.functions import array_to_vector as _ml_vector
+from pyspark.ml.functions import vector_to_array as _ml_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _to_vector(a: Column) -> Column:
+    return F.when(a.isNotNull(), _ml_vector(a))
+
+
 def array_to_vector(a: Column | str) -> Column:
     """``array<double>`` to a vector; null for null."""
     return _to_vector(F.col(a) if isinstance(a, str) else a)
@@ -15,7 +19,8 @@ def array_to_vector(a: Column | str) -> Column:
 
 def vector_to_array(v: Column | str) -> Column:
     """A vector to ``array<double>``; null for null."""
-    return _to_array(F.col(v) if isinstance(v, str) else v)
+    v = F.col(v) if isinstance(v, str) else v
+    return F.when(v.isNotNull(), _ml_array(v))
 
 
 def zeros_vector(n: int) -> Column:
