@@ -1,6 +1,6 @@
 """Items of varying length into containers of fixed capacity: a configuration LP over the length histogram.
 
-The plan is made on the driver from the histogram alone (at most ``units`` classes a container
+The plan is made from the histogram alone (at most ``units`` classes a container
 size, whatever the number of items). The items are then placed by their rank within their class, which is counted
 in parts, so neither a task nor the driver ever holds the items of a class.
 """
@@ -89,7 +89,7 @@ def configuration_lp(demand: np.ndarray, rounds: int, eps: float = 0.25, pull: f
     return [(a, x) for a, x in used.values()]
 
 
-def plan_bins(counts: np.ndarray, rounds: int = 800, phases: int = 5) -> Plan:
+def plan_bins(counts: np.ndarray, rounds: int = 1000, phases: int = 5) -> Plan:
     """A plan for ``counts`` items per class 0..U: LP phases, each rounded down, and best fit for the rest.
 
     Class 0 items take no room and go to bin 0. Bins never exceed U units.
@@ -165,7 +165,17 @@ def sizes(capacity: int, units: int = UNITS, grain: int = GRAIN) -> tuple[int, i
 
 
 
-def pack(items: DataFrame, capacities: DataFrame, *, item_id: str = "doc_id", text: str | None = "text", size: str | None = None, pack_id: str = "pack_id", capacity: str = "capacity", units: int = UNITS, rounds: int = 800, parts: int = PARTS) -> DataFrame:
+def _plan_task(rounds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = plan_bins(np.array(counts, np.int64), rounds)
+                yield pa.RecordBatch.from_arrays([pa.array([no] * len(p.cls), pa.int32()), pa.array(p.cls, pa.int32()), pa.array(p.first, pa.int64()), pa.array(p.bin_first, pa.int64())], names=["no", "cls", "first", "bin_first"])
+
+    return run
+
+
+def pack(items: DataFrame, capacities: DataFrame, *, item_id: str = "doc_id", text: str | None = "text", size: str | None = None, pack_id: str = "pack_id", capacity: str = "capacity", units: int = UNITS, rounds: int = 1000, parts: int = PARTS) -> DataFrame:
     """``(pack_id, item_id, piece_no, n_pieces, first_token, n_tokens, bin)``: every item in bins of every capacity.
 
     An item's size is the UTF-8 length of ``text``, or the column ``size``. An item larger than the capacity is cut into
@@ -195,20 +205,21 @@ def pack(items: DataFrame, capacities: DataFrame, *, item_id: str = "doc_id", te
     pieces = pieces.withColumn("cls", F.least(F.ceil(F.col("n_tokens") / F.col("per")), F.col("last")).cast("int"))
     counts = stage(pieces.groupBy("no", "cls", "_part").agg(F.count(F.lit(1)).alias("n")))
 
-    plans: dict[int, Plan] = {}
     histogram = counts.groupBy("no", "cls").agg(F.sum("n").alias("n")).collect()  # at most units + 1 rows a capacity
-    for i in grid:
-        h = np.zeros(grid[i][1] + 1, np.int64)
-        for r in histogram:
-            if r.no == i:
-                h[r.cls] = r.n
-        plans[i] = plan_bins(h, rounds)
-    # Intervals of each class in order of rank; their number depends on units and rounds, not on the items.
+    counted = {i: np.zeros(grid[i][1] + 1, np.int64) for i in grid}
+    for r in histogram:
+        counted[r.no][r.cls] = r.n
+    # One task per capacity plans its bins; a plan's size depends on units and rounds, not on the items.
+    todo = spark.createDataFrame([(i, h.tolist()) for i, h in counted.items()], "no int, counts array<bigint>").repartition(len(counted), "no")
+    plans: dict[int, list] = {i: [] for i in grid}
+    for r in todo.mapInArrow(_plan_task(rounds), "no int, cls int, first bigint, bin_first bigint").collect():
+        plans[r.no].append(r)
+    # Intervals of each class in order of rank.
     lookup: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for i, p in plans.items():
         made: dict[int, list[tuple[int, int]]] = {}
-        for cls, first, b in zip(p.cls, p.first, p.bin_first, strict=True):
-            made.setdefault(cls, []).append((first, b))
+        for r in p:
+            made.setdefault(r.cls, []).append((r.first, r.bin_first))
         for cls, rows in made.items():
             a = np.array(sorted(rows), np.int64)
             lookup[i, cls] = (a[:, 0], a[:, 1])
