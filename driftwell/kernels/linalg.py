@@ -21,22 +21,28 @@ def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[..., :, None] * y[..., None, :]
 
 
+def _svd(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Singular values where all entries are finite; others are decomposed as zeros and reported."""
+    ok = np.isfinite(s).all(axis=(-1, -2))
+    return *np.linalg.svd(np.where(ok[..., None, None], s, 0.0), full_matrices=False), ok[..., None, None]
+
+
 def pinv(s: np.ndarray) -> np.ndarray:
-    """Pseudo-inverse that inverts every singular value but exact zeros."""
+    """Pseudo-inverse that inverts every singular value but exact zeros; NaN for matrices that aren't finite."""
     if s.shape[-1] == s.shape[-2] == 1:
         with np.errstate(divide="ignore"):
             return np.where(s != 0, 1.0 / np.where(s != 0, s, 1.0), 0.0)
-    u, d, vt = np.linalg.svd(s, full_matrices=False)
+    u, d, vt, ok = _svd(s)
     inv = np.where(d != 0, 1.0 / np.where(d != 0, d, 1.0), 0.0)
-    return t(vt) @ (inv[..., None] * t(u))
+    return np.where(ok, t(vt) @ (inv[..., None] * t(u)), np.nan)
 
 
 def root(p: np.ndarray) -> np.ndarray:
-    """Symmetric square root."""
+    """Symmetric square root; NaN for matrices that aren't finite."""
     if p.shape[-1] == 1:
         return np.sqrt(np.maximum(p, 0.0))
-    u, d, vt = np.linalg.svd(p)
-    return u @ (np.sqrt(d)[..., None] * vt)
+    u, d, vt, ok = _svd(p)
+    return np.where(ok, u @ (np.sqrt(d)[..., None] * vt), np.nan)
 
 
 def squared_mahalanobis(r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -45,7 +51,7 @@ def squared_mahalanobis(r: np.ndarray, s: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return r[..., 0] ** 2 / s[..., 0, 0]
     det = np.linalg.det(s)
-    ok = np.isfinite(det) & (det != 0)
+    ok = np.isfinite(det) & (det != 0) & np.isfinite(s).all(axis=(-1, -2))
     safe = np.where(ok[..., None, None], s, np.eye(s.shape[-1]))
     return np.where(ok, np.einsum("...i,...i->...", r, np.linalg.solve(safe, r[..., None])[..., 0]), np.nan)
 

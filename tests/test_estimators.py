@@ -277,3 +277,22 @@ def test_wrong_parameters_are_refused(spark):
         LinearKalmanFilter(fadingFactor=0.5)
     with pytest.raises(ValueError):
         PoissonMixture().transform(df.withColumn("sample", F.lit(1)))
+
+
+def test_one_key_without_finite_numbers_leaves_the_others_alone(spark):
+    rows = [(k, i, [float(i), 1.0] if k == "good" or i != 2 else [float("inf"), 1e308]) for k in ("good", "bad") for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i int, measurement array<double>")
+    for cls in (LinearKalmanFilter, UnscentedKalmanFilter, CubatureKalmanFilter):
+        out = cls(stateKeyCol="k", orderCol="i", stateSize=2, calculateMahalanobis=True).transform(df)
+        assert out.count() == 10 and all(np.isfinite(r["state"]["mean"]).all() for r in out.where("k = 'good'").collect())
+
+
+def test_resuming_from_a_snapshot_gives_the_same_states(spark):
+    rows, _ = regression(12, n=40, keys=("a", "b"))
+    df = frame(spark, rows)
+    make = lambda **more: LinearKalmanFilter(stateKeyCol="k", eventTimeCol="ts", measurementModelCol="H", stateSize=3, measurementNoise=[[1.0]], **more)
+    whole = {(r["k"], r["ts"]): r["state"] for r in make().transform(df).collect()}
+    cut = START + timedelta(minutes=19)
+    snapshot = make().transform(df.where(F.col("ts") <= cut)).groupBy("k").agg(F.max_by("state", "stateIndex").alias("initial"))
+    rest = make(initialStateDistributionCol="initial").transform(df.where(F.col("ts") > cut).join(snapshot, "k")).collect()
+    assert len(rest) == 40 and all(r["state"] == whole[r["k"], r["ts"]] for r in rest)
