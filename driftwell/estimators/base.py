@@ -98,6 +98,12 @@ class KeyedTransformer(Transformer, Persistent):
         self._check(dataset)
         return self.finish(self.states(dataset))
 
+    def transformSchema(self, schema: T.StructType) -> T.StructType:  # noqa: N802 - as in Spark ML
+        """Schema of the output for input of ``schema``; the same checks as ``transform``."""
+        from pyspark.sql import SparkSession
+
+        return self.transform(SparkSession.active().createDataFrame([], schema)).schema
+
     def states(self, df: DataFrame) -> DataFrame:
         """All output columns, plain types."""
         key = F.col(self.opt("stateKeyCol")).cast("string") if self.isSet(self.stateKeyCol) else F.lit(self.default_key)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.conf.set(CHECKPOINT_DIR, found)
@@ -51,13 +51,6 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged frame that is no longer read."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if path in _staged or any(path.endswith(p.split("://")[-1]) for p in _staged):
-            _remove(df.sparkSession, path)
-
-
 def _starts(table: pa.Table, keys: list[str]) -> list[int]:
     n = table.num_rows
     changed = None

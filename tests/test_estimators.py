@@ -296,3 +296,12 @@ def test_resuming_from_a_snapshot_gives_the_same_states(spark):
     snapshot = make().transform(df.where(F.col("ts") <= cut)).groupBy("k").agg(F.max_by("state", "stateIndex").alias("initial"))
     rest = make(initialStateDistributionCol="initial").transform(df.where(F.col("ts") > cut).join(snapshot, "k")).collect()
     assert len(rest) == 40 and all(r["state"] == whole[r["k"], r["ts"]] for r in rest)
+
+
+def test_schema_follows_the_parameters(spark):
+    df = spark.createDataFrame([("a", [1.0], START)], "k string, measurement array<double>, ts timestamp")
+    f = LinearKalmanFilter(stateKeyCol="k", eventTimeCol="ts")
+    assert f.transformSchema(df.schema).fieldNames() == ["k", "stateIndex", "stepIndex", "state", "ts"]
+    f.setCalculateLoglikelihood().setOutputSystemMatrices()
+    assert f.transformSchema(df.schema) == f.transform(df).schema
+    assert f.transformSchema(df.schema).fieldNames() == ["k", "stateIndex", "stepIndex", "state", "residual", "loglikelihood", "processModel", "processNoise", "measurement", "measurementModel", "ts"]

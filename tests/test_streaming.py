@@ -63,6 +63,18 @@ def test_event_timeout_drops_states(spark, tmp_path):
     assert [r["stateIndex"] for r in out.where("k = 'a'").orderBy("ts").collect()] == [1, 2, 3, 4, 5, 1]
 
 
+def test_stream_starts_from_a_batch_snapshot(spark, tmp_path):
+    data = rows(20)
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame([r for r in data if r[1] >= 10], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    make = lambda **more: LinearKalmanFilter(stateKeyCol="k", eventTimeCol="ts", **more)
+    whole = {(r["k"], r["ts"]): r["state"] for r in make().transform(spark.createDataFrame(data, SCHEMA)).collect()}
+    snapshot = make().transform(spark.createDataFrame([r for r in data if r[1] < 10], SCHEMA)).groupBy("k").agg(F.max_by("state", "stateIndex").alias("initial"))
+    stream = folder_stream(spark, folder, SCHEMA).join(snapshot, "k")
+    out = drain(make(initialStateDistributionCol="initial").transform(stream), f"{tmp_path}/cp").collect()
+    assert len(out) == 20 and all(r["state"] == whole[r["k"], r["ts"]] for r in out)
+
+
 def test_averaging_over_models_in_a_stream(spark, tmp_path):
     folder = f"{tmp_path}/in"
     for part in range(3):
