@@ -78,6 +78,10 @@ class KeyedTransformer(Transformer, Persistent):
         """The model's input columns."""
         raise NotImplementedError
 
+    def run(self, rows: DataFrame, model: runtime.KeyedModel) -> DataFrame:
+        """The model over a batch table."""
+        return runtime.batch(rows, model)
+
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop and add output columns after the parameters."""
         return df
@@ -116,7 +120,7 @@ class KeyedTransformer(Transformer, Persistent):
                 rows = rows.withWatermark(runtime.TIME, self.opt("watermarkDuration"))
             out = runtime.stream(rows, model, self.opt("timeoutMode"), self._duration_ms(df), self.hands_watermark_on)
         else:
-            out = runtime.batch(rows, model)
+            out = self.run(rows, model)
         out = out.withColumnRenamed(runtime.KEY, self.opt("stateKeyCol") or "stateKey")
         out = out.withColumnRenamed(runtime.TIME, self.opt("eventTimeCol")) if self.isSet(self.eventTimeCol) else out.drop(runtime.TIME)
         if self.opt("stateKeyCol"):

@@ -275,6 +275,7 @@ class _Kalman(KeyedTransformer):
         return out.withColumn("state", state).drop("_m", "_c")
 
 
+@declare(Spec("parallelChunkRows", as_size, 0, "Rows of a key that one task filters (0: the whole key), see ``parallel``"))
 class LinearKalmanFilter(_Kalman):
     """Linear Kalman filter per key, with Joseph-form update, control, fading memory and missing measurements.
 
@@ -282,10 +283,23 @@ class LinearKalmanFilter(_Kalman):
     option ``residual``, ``loglikelihood``, ``mahalanobis``, ``slidingLikelihood`` and the system matrices; event time. A null
     measurement (or one of another size than the key's others) only predicts; residual and its scores are null then.
     Model columns that are null or of a wrong shape in a row fall back to the constant parameter or its default there.
+
+    ``parallelChunkRows`` splits long keys of a batch table over tasks (``estimators.parallel``); it needs ``stateSize``, and
+    neither fading nor sliding likelihood.
     """
 
     default_key = "filter.linearKalman"
 
+    def run(self, rows: DataFrame, model: runtime.KeyedModel) -> DataFrame:
+        size = self.opt("parallelChunkRows")
+        if not size:
+            return super().run(rows, model)
+        if not self.opt("stateSize") or self.opt("fadingFactor") != 1.0 or self.opt("calculateSlidingLikelihood"):
+            raise ValueError("parallelChunkRows needs stateSize, and neither fading nor sliding likelihood")
+        from driftwell.estimators.parallel import filter_in_chunks
+
+        return filter_in_chunks(rows, lambda cls, extra: cls(self.core(), **(self._options(self._wants_likelihood()) | {"given": set(model.columns) | extra})), size)
+
     def core(self) -> kalman.Linear:
         return kalman.Linear(self.opt("fadingFactor"))
 

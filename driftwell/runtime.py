@@ -90,6 +90,8 @@ class KeyedModel:
     columns: dict[str, str] = {}
     #: Arrow fields that a step gives, without key and time.
     output: list[pa.Field] = []
+    #: Whether a key emits once, at its last row (``finish``); such keys must fit in a chunk.
+    once = False
 
     def begin(self, rows: dict[str, Any], first: dict[str, list], n: int) -> State:
         """States of ``n`` keys from their first rows."""
@@ -107,6 +109,10 @@ class KeyedModel:
         """Advance in place; give blocks of (positions of the keys that emit, arrays by output field)."""
         raise NotImplementedError
 
+    def finish(self, state: State) -> dict[str, Any]:
+        """What every key emits at its last row, if ``once``."""
+        raise NotImplementedError
+
     def encode(self, name: str, parts: list[Any]) -> pa.Array:
         """The Arrow column of an output field from its blocks."""
         raise NotImplementedError
@@ -167,6 +173,8 @@ class KeyedModel:
             at = starts[:g] + t
             for emit, made in self.step(view, {c: v[at] for c, v in rows.items()}):
                 blocks.append((at[emit], made))
+        if self.once:
+            blocks = [(starts + sizes - 1, self.finish(state))]
         end = int(np.flatnonzero(order == len(order) - 1)[0])
         last = {n: a[end : end + 1].copy() for n, a in state.items()}
         blocks = [b for b in blocks if len(b[0])]

@@ -305,3 +305,25 @@ def test_schema_follows_the_parameters(spark):
     f.setCalculateLoglikelihood().setOutputSystemMatrices()
     assert f.transformSchema(df.schema) == f.transform(df).schema
     assert f.transformSchema(df.schema).fieldNames() == ["k", "stateIndex", "stepIndex", "state", "residual", "loglikelihood", "processModel", "processNoise", "measurement", "measurementModel", "ts"]
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_chunks_of_a_key_filter_as_the_whole_key(spark, size):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k, n in (("a", 150), ("b", 41), (None, 20), ("n", 3)):
+        for i in range(n):
+            z = None if i % 6 == 4 else [float(i + rng.normal())]
+            rows.append((k, i, z, [float(rng.normal())], [[0.3], [0.1]], None if i % 9 == 5 else START + timedelta(hours=i), [5.0 if k == "b" else 0.0, 1.0]))
+    df = spark.createDataFrame(rows, "k string, i int, measurement array<double>, u array<double>, b array<array<double>>, ts timestamp, m0 array<double>")
+    f = LinearKalmanFilter(stateKeyCol="k", eventTimeCol="ts", orderCol="i", stateSize=2, processModel=[[1.0, 1.0], [0.0, 1.0]], measurementModel=[[1.0, 0.0]], processNoise=[[0.1, 0.02], [0.02, 0.05]], measurementNoise=[[2.0]], controlCol="u", controlFunctionCol="b", initialStateMeanCol="m0", calculateLoglikelihood=True, multiStepPredict=1)
+    key = lambda r: (r["k"] or "", r["stateIndex"], r["stepIndex"])
+    whole = {key(r): r for r in f.transform(df).collect()}
+    cut = {key(r): r for r in f.copy().setParallelChunkRows(size).transform(df).collect()}
+    assert set(whole) == set(cut) and len(cut) == 2 * len(rows)
+    for k, w in whole.items():
+        c = cut[k]
+        assert c["ts"] == w["ts"] and np.allclose(c["state"]["mean"], w["state"]["mean"], atol=1e-7) and np.allclose(c["state"]["covariance"]["values"], w["state"]["covariance"]["values"], atol=1e-7)
+        assert (c["loglikelihood"] is None) == (w["loglikelihood"] is None) and (w["loglikelihood"] is None or np.isclose(c["loglikelihood"], w["loglikelihood"]))
+    with pytest.raises(ValueError):
+        f.copy().setParallelChunkRows(size).setCalculateSlidingLikelihood(True).transform(df)
