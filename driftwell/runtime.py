@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftwell.session import _starts
+from driftwell.session import _starts, by_key
 
 CHUNK_ROWS = 100_000
 KEY, TIME, TIE = "key__", "time__", "tie__"  #: no leading underscore: rows of the state store become named tuples
@@ -231,7 +231,7 @@ def batch(df: DataFrame, model: KeyedModel, chunk: int = CHUNK_ROWS) -> DataFram
             for m in flush(pa.Table.from_batches(held), True)[0]:
                 yield from m.cast(schema).combine_chunks().to_batches(max_chunksize=20_000)
 
-    return df.repartition(KEY).sortWithinPartitions(KEY, *order).mapInArrow(run, spark_schema(model))
+    return by_key(df, KEY).sortWithinPartitions(KEY, *order).mapInArrow(run, spark_schema(model))
 
 
 def stream(df: DataFrame, model: KeyedModel, timeout: str = "none", duration_ms: int | None = None, keep_event_time: bool = False) -> DataFrame:

@@ -51,6 +51,15 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in as many partitions as the session's shuffles have.
+
+    The number is given, so adaptive execution doesn't merge partitions that are small in bytes but
+    dear in Python.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _starts(table: pa.Table, keys: list[str]) -> list[int]:
     n = table.num_rows
     changed = None
@@ -63,14 +72,12 @@ def _starts(table: pa.Table, keys: list[str]) -> list[int]:
     return [0, *(pc.add(pc.indices_nonzero(changed), 1).to_pylist() if n > 1 else [])]
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, list[int]], pa.Table | None], schema: str, partitions: int | None = None) -> DataFrame:
+def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, list[int]], pa.Table | None], schema: str) -> DataFrame:
     """Call ``fn(table, starts)`` on runs of whole groups: rows of equal ``keys``, sorted by ``order``.
 
     ``starts`` holds the first row of each group. A group must fit in memory, so callers
     bound its size first (chunks of a key, not keys).
     """
-    placed = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -94,4 +101,4 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Call
             table = pa.Table.from_batches(held)
             yield from emit(table, _starts(table, keys))
 
-    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return by_key(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
