@@ -11,6 +11,7 @@ from driftwell.session import stage
 
 SMALL = 4096  #: distinct values of a group that one task may sort
 PROPOSERS = 64  #: parts of a group that propose a local median
+FEW = 50_000  #: targets (under 100 bytes each) that are broadcast; more are joined by a shuffle
 
 
 def quantized(value: Column, eps: float) -> Column:
@@ -65,37 +66,41 @@ def multi_select(state: DataFrame, probs: list[float], *, small: int = SMALL, pr
     targets = stage(targets.withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("total"))).cast("long")).withColumn("_lo", F.lit(None).cast("double")).withColumn("_hi", F.lit(None).cast("double")))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
-    def in_range(rows: DataFrame, t: DataFrame) -> DataFrame:
-        t = t.withColumnRenamed("key", "_key")
+    def sized(t: DataFrame, n: int | None) -> DataFrame:
+        """Targets to be broadcast if counted and few, else to be joined by a sorted shuffle, which adaptive execution splits where it is skewed."""
+        return F.broadcast(t) if n is not None and n <= FEW else t.hint("merge")
+
+    def in_range(rows: DataFrame, t: DataFrame, n: int | None = None) -> DataFrame:
+        t = sized(t.withColumnRenamed("key", "_key"), n)
         inside = (F.col("_lo").isNull() | (F.col("value") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("value") < F.col("_hi")))
         return rows.join(t, same("key", "_key") & inside).drop("_key")
 
     found = [_pick(in_range(state, targets.where(F.col("_d") <= small)))]
     open_, rows = targets.where(F.col("_d") > small), state
-    while open_.limit(1).count():
-        # Distinct targets of a key keep their own ranges; a value in several is carried once per target.
-        rows = stage(in_range(rows.select("key", "value", "n").distinct(), open_).select("key", "value", "n", "p", "_k", "_lo", "_hi"))
+    while few := open_.count():
+        # A value is carried once per target whose range it is in.
+        rows = stage(in_range(rows.select("key", "value", "n").distinct(), open_, few).select("key", "value", "n", "p", "_k", "_lo", "_hi"))
         local = rows.groupBy("key", "p", F.pmod(F.xxhash64("value"), F.lit(proposers)).alias("_part")).agg(F.percentile_approx("value", 0.5, 200).alias("_m"), F.sum("n").alias("_w"))
         w = Window.partitionBy("key", "p")
         local = local.withColumn("_all", F.sum("_w").over(w)).withColumn("_upto", F.sum("_w").over(w.orderBy("_m", "_part").rowsBetween(Window.unboundedPreceding, 0)))
         pivots = local.where(2 * F.col("_upto") >= F.col("_all")).groupBy(F.col("key").alias("_pk"), F.col("p").alias("_pp")).agg(F.min("_m").alias("_pivot"))
         v, m = F.col("value"), F.col("_pivot")
-        counted = rows.join(pivots, same("key", "_pk") & (F.col("p") == F.col("_pp"))).groupBy("key", "p", "_k", "_lo", "_hi", "_pivot").agg(
+        counted = rows.join(sized(pivots, few), same("key", "_pk") & (F.col("p") == F.col("_pp"))).groupBy("key", "p", "_k", "_lo", "_hi", "_pivot").agg(
             F.sum(F.when(v < m, F.col("n")).otherwise(0)).alias("_lt"), F.sum(F.when(v == m, F.col("n")).otherwise(0)).alias("_eq"),
             F.count_if(v < m).alias("_dlt"), F.count_if(v > m).alias("_dgt"))
         k, lt, le = F.col("_k"), F.col("_lt"), F.col("_lt") + F.col("_eq")
         below, at = k <= lt, (k > lt) & (k <= le)
         nxt = stage(counted.select("key", "p", at.alias("_at"), m.alias("_pivot"), F.when(below, k).otherwise(k - le).alias("_k"), F.when(below, F.col("_lo")).otherwise(m).alias("_lo"), F.when(below, m).otherwise(F.col("_hi")).alias("_hi"), F.when(below, F.col("_dlt")).otherwise(F.col("_dgt")).alias("_d")))
-        found.append(nxt.where("_at").select("key", "p", F.col("_pivot").alias("value")))
         left = nxt.where("NOT _at").select("key", "p", "_k", "_lo", "_hi", "_d")
         own = rows.select("key", "value", "n", F.col("p").alias("_rp")).distinct()
-        done = left.where(F.col("_d") <= small)
-        found.append(_pick(in_range(own, done).where(F.col("_rp") == F.col("p")).drop("_rp")))
+        done = _pick(in_range(own, left.where(F.col("_d") <= small), few).where(F.col("_rp") == F.col("p")).drop("_rp"))
+        # Written at once: the plan of the result doesn't grow with the rounds.
+        found.append(stage(nxt.where("_at").select("key", "p", F.col("_pivot").alias("value")).unionByName(done)))
         open_ = left.where(F.col("_d") > small)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    t = targets.select(F.col("key").alias("_tk"), F.col("p").alias("_tp"), "total")
+    t = targets.select(F.col("key").alias("_tk"), F.col("p").alias("_tp"), "total").hint("merge")
     return out.join(t, same("key", "_tk") & (F.col("p") == F.col("_tp"))).select("key", "p", "value", F.col("total").alias("n"))
 
 
