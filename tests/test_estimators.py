@@ -327,3 +327,68 @@ def test_chunks_of_a_key_filter_as_the_whole_key(spark, size):
         assert (c["loglikelihood"] is None) == (w["loglikelihood"] is None) and (w["loglikelihood"] is None or np.isclose(c["loglikelihood"], w["loglikelihood"]))
     with pytest.raises(ValueError):
         f.copy().setParallelChunkRows(size).setCalculateSlidingLikelihood(True).transform(df)
+
+
+def plain_em(samples, weights, params, density, stat, batch, hold, rate=None, step=None):
+    """Online EM for one key, sample by sample, after the formulas."""
+    k = len(weights)
+    w, p = list(weights), [dict(x) for x in params]
+    sw, sp = list(w), [{n: v * wk for n, v in x.items()} for x, wk in zip(p, w, strict=True)]
+    out, held, index = [], [], 0
+    for x in samples:
+        held.append(x)
+        if len(held) < batch:
+            continue
+        gamma = (2 + index) ** -rate if rate is not None else step
+        resp = []
+        for s in held:
+            joint = np.array([np.log(w[j]) + density(s, p[j]) for j in range(k)])
+            e = np.exp(joint - joint.max())
+            resp.append(e / e.sum())
+        resp = np.array(resp)
+        for j in range(k):
+            sw[j] = (1 - gamma) * sw[j] + gamma * resp[:, j].mean()
+            new = {n: sum(resp[i, j] * stat(s, p[j])[n] for i, s in enumerate(held)) / len(held) for n in p[j]}
+            sp[j] = {n: (1 - gamma) * sp[j][n] + gamma * new[n] for n in new}
+        if index >= hold:
+            w, p = list(sw), [{n: v / sw[j] for n, v in sp[j].items()} for j in range(k)]
+        ll = sum(np.log(sum(w[j] * np.exp(density(s, p[j])) for j in range(k))) for s in held)
+        index += 1
+        out.append((index, list(w), [dict(x) for x in p], ll))
+        held = []
+    return out
+
+
+def test_online_mixtures_follow_the_formulas(spark):
+    from math import lgamma
+
+    rng = np.random.default_rng(14)
+    counts = {k: [int(v) for v in rng.poisson(rng.choice([3, 12, 30], n))] for k, n in (("a", 57), ("b", 23), ("c", 4))}
+    df = spark.createDataFrame([(k, i, v if i != 3 else None) for k, vs in counts.items() for i, v in enumerate(vs)], "k string, i int, sample long")
+    m = PoissonMixture(stateKeyCol="k", orderCol="i", initialRates=[2.0, 10.0, 25.0], initialWeights=[0.2, 0.3, 0.5], minibatchSize=5, decayRate=0.7, updateHoldout=2)
+    got = {(r["k"], r["stateIndex"]): r for r in m.transform(df).collect()}
+    n = 0
+    for k, vs in counts.items():
+        kept = [v for i, v in enumerate(vs) if i != 3]
+        for index, w, p, ll in plain_em(kept, [0.2, 0.3, 0.5], [{"rate": x} for x in (2.0, 10.0, 25.0)], lambda s, q: s * np.log(q["rate"]) - q["rate"] - lgamma(s + 1), lambda s, q: {"rate": s}, 5, 2, rate=0.7):
+            r = got[k, index]
+            assert np.allclose(r["mixtureModel"]["weights"], w) and np.allclose([d["rate"] for d in r["mixtureModel"]["distributions"]], [x["rate"] for x in p]) and np.isclose(r["loglikelihood"], ll)
+            n += 1
+    assert n == len(got) == 15
+    xs = rng.normal(size=(60, 2)) + rng.choice([0.0, 4.0], 60)[:, None]
+    df = spark.createDataFrame([(i, x.tolist(), 4 if i % 2 else 3) for i, x in enumerate(xs)], "i int, sample array<double>, size int")
+
+    def density(s, q):
+        d = s - q["mean"]
+        return -0.5 * (2 * np.log(2 * np.pi) + np.log(np.linalg.det(q["cov"])) + d @ np.linalg.inv(q["cov"]) @ d)
+
+    start = [{"mean": np.array([-1.0, 0.5]), "cov": np.eye(2) * 2.0}, {"mean": np.array([3.0, 5.0]), "cov": np.array([[2.0, 0.5], [0.5, 1.0]])}, {"mean": np.array([1.0, 1.0]), "cov": np.eye(2) * 4.0}]
+    g = MultivariateGaussianMixture(orderCol="i", initialMeans=[x["mean"] for x in start], initialCovariances=[x["cov"].ravel("F") for x in start], minibatchSize=4, stepSize=0.3)
+    rows = {r["stateIndex"]: r for r in g.transform(df).collect()}
+    want = plain_em(list(xs), [1 / 3] * 3, start, density, lambda s, q: {"mean": s, "cov": np.outer(s - q["mean"], s - q["mean"])}, 4, 0, step=0.3)
+    assert len(rows) == len(want) == 15
+    for index, w, p, ll in want:
+        r = rows[index]
+        assert np.allclose(r["mixtureModel"]["weights"], w) and np.isclose(r["loglikelihood"], ll)
+        for d, x in zip(r["mixtureModel"]["distributions"], p, strict=True):
+            assert np.allclose(d["mean"], x["mean"]) and np.allclose(d["covariance"]["values"], x["cov"].ravel("F"))
