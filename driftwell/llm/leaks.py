@@ -2,18 +2,20 @@
 
 The automaton holds a piece of each passage from every word on, as letters and digits only, so line ends,
 hyphens and punctuation don't matter. Its hits carry passage and position, and are mapped back to the words of the
-text. Passages with several hits in order are then followed word by word from the hits, through misread letters,
-broken and joined words, and over other columns' lines and adverts, and the longest run of successive words is measured.
+text. Passages with several hits are then followed word by word through the whole text, through misread letters,
+broken and joined words, and over other columns' lines and adverts of any length, and the longest run of successive
+words is measured.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import accumulate
+from math import prod
 
 import ahocorasick
 import pyarrow as pa
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 PIECE = 15  #: letters of a piece; a passage word starts each piece
 BLOCK = 20_000  #: passages in one automaton; more are searched in several passes
-LEAST_HITS = 5  #: hits in order that make a passage worth following: an 18-word run has some 15, fewer if parted or misread
-SPAN = 250  #: words of the text that may stand between two words of a run
+LEAST_HITS = 5  #: passage words with hits, anywhere in the text, that make a passage worth following: an 18-word run has some 15, fewer if parted or misread
+NEAR, SPAN = 125, 250  #: words of the text up to which a jump is judged by its cost alone, or by cost if what follows is FIRM; beyond, both sides must be SURE
+START, FIRM, SURE = 1e-2, 1e-5, 1e-9  #: copies of a stretch expected by chance in the whole text, for following it, for looking around it and for joining it over any distance
 EDGE, JUMP = 0.75, 2.25  #: cost in words of a jump between line parts, and of one elsewhere
 WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"[-¬‐­]\s*$")
@@ -114,49 +117,31 @@ class Passages:
         toks = WORD.findall(folded)
         if len(toks) < 2:
             return []
-        ends = list(accumulate(map(len, toks)))
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, where in self.automaton.iter("".join(toks)):
-            j = bisect_right(ends, end - self.piece + 1)
+        hits: dict[int, set[int]] = defaultdict(set)
+        for _, where in self.automaton.iter("".join(toks)):
             for k, i in where:
-                hits[k].append((j, i))
+                hits[k].add(i)
         out = []
         layout = None
         for k, h in hits.items():
-            if len(h) < LEAST_HITS or not (h := _in_order(h)):
+            if len(h) < LEAST_HITS:
                 continue
-            layout = layout or _Layout(folded)
-            run = _Follow(self.words[k], self.at[k], toks, layout).longest(h)
+            layout = layout or _Layout(folded, toks)
+            run = _Follow(self.words[k], self.at[k], toks, layout).longest(least)
             if run[0] >= least:
                 out.append((k, *run))
         return out
 
 
-def _in_order(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The hits that belong to chains of ``LEAST_HITS`` or more following each other in text and passage."""
-    n = len(hits)
-    before, back = [1] * n, [-1] * n
-    for a in range(n):
-        j, i = hits[a]
-        for b in range(a - 1, max(-1, a - 60), -1):
-            dj, di = j - hits[b][0], i - hits[b][1]
-            if dj > SPAN // 2:
-                break
-            if 0 < di <= 24 and dj >= di - 1 and before[b] >= before[a]:
-                before[a], back[a] = before[b] + 1, b
-    keep: set[int] = set()
-    for a in range(n - 1, -1, -1):
-        if before[a] >= LEAST_HITS and a not in keep:
-            while a >= 0 and a not in keep:
-                keep.add(a)
-                a = back[a]
-    return [hits[a] for a in sorted(keep)]
-
-
 class _Layout:
-    """For each word of a text: its line part, its place from the part's start and end, and whether it is broken off."""
-
-    def __init__(self, folded: str) -> None:
+    """For each word of a text: its line part, its place from the part's start and end, and whether it is broken off; how often each word occurs, and where two words stand side by side or one apart."""
+
+    def __init__(self, folded: str, toks: list[str]) -> None:
+        self.count = Counter(toks)
+        self.pairs: dict[tuple[str, str, int], list[int]] = defaultdict(list)
+        for d in (1, 2):
+            for j, (a, b) in enumerate(zip(toks, toks[d:], strict=False)):
+                self.pairs[a, b, d].append(j)
         self.first: list[int] = []
         self.last: list[int] = []
         self.broken: list[bool] = []
@@ -208,65 +193,124 @@ class _Follow:
             return 1, 1
         return 0, 0
 
-    def _segments(self, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
-        """Unbroken stretches (passage from, to, text from, to; inclusive) with an exact word in ``lo..hi``."""
+    def _pairs(self) -> list[tuple[int, int]]:
+        """(passage word, text word) of the exact words with another one beside or one apart, in the whole text."""
+        p, pairs = self.p, self.y.pairs
+        return [(i + o, j + o) for d in (1, 2) for i in range(len(p) - d) for j in pairs.get((p[i], p[i + d], d), ()) for o in (0, d)]
+
+    def _segments(self, exact: Iterable[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Unbroken stretches (passage from, to, text from, to; inclusive) with one of the exact words, by where they end in the text."""
         done: set[tuple[int, int]] = set()
         out = []
-        for j in range(lo, hi):
-            for i in self.at.get(self.t[j], ()):
-                if (i, j) in done:
-                    continue
-                a, b = i, j
-                while True:
-                    da, db = self._behind(a - 1, b - 1)
-                    if not da:
-                        break
-                    a, b = a - da, b - db
-                    done.add((a, b))
-                c, d = i + 1, j + 1
-                while True:
-                    dc, dd = self._ahead(c, d)
-                    if not dc:
-                        break
-                    done.add((c, d))
-                    c, d = c + dc, d + dd
-                done.add((i, j))
-                out.append((a, c - 1, b, d - 1))
-        return sorted(set(out))
-
-    def longest(self, hits: list[tuple[int, int]]) -> tuple[int, int, int]:
-        """The longest run around the hits: (passage words, first, last word of the text)."""
-        js = [j for j, _ in hits]
-        near: list[tuple[int, int]] = []  # the surroundings of hits
-        for j in sorted(js):
-            if near and j - 60 <= near[-1][1]:
-                near[-1] = (near[-1][0], min(len(self.t), j + 120))
-            else:
-                near.append((max(0, j - 60), min(len(self.t), j + 120)))
-        segs = [s for a, b in near for s in self._segments(a, b)]
-        segs.sort()
-        # Best chain ending with each stretch: net score, run start in the passage, first text word.
-        best: list[tuple[float, int, int]] = []
-        by_end: dict[int, list[int]] = defaultdict(list)
+        for i, j in exact:
+            if (i, j) in done:
+                continue
+            a, b = i, j
+            while True:
+                da, db = self._behind(a - 1, b - 1)
+                if not da:
+                    break
+                a, b = a - da, b - db
+                done.add((a, b))
+            c, d = i + 1, j + 1
+            while True:
+                dc, dd = self._ahead(c, d)
+                if not dc:
+                    break
+                done.add((c, d))
+                c, d = c + dc, d + dd
+            done.add((i, j))
+            out.append((a, c - 1, b, d - 1))
+        return sorted(set(out), key=lambda s: (s[3], s))
+
+    def _chance(self, i0: int, i1: int) -> float:
+        """How often passage words ``i0..i1`` are expected at one place of a text of the same words in any order; misread ones count as certain."""
+        c, n = self.y.count, len(self.t)
+        return prod(c[w] / n for w in self.p[i0 : i1 + 1] if w in c)
+
+    def _exact(self) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
+        """Stretches of exact words beside or one apart: passage words (from, to), copies expected by chance, (passage word, text word) of each."""
+        out: list[tuple[int, int, float, list[tuple[int, int]]]] = []
+        shift, part, chance = None, [], 1.0
+        n = len(self.t)
+        for at, i in [*sorted({(j - i, i) for i, j in self._pairs()}), (None, 0)]:
+            if at != shift or i - part[-1][0] > 2:
+                if part:
+                    out.append((part[0][0], part[-1][0], chance * n, part))
+                shift, part, chance = at, [], 1.0
+            if at is not None:
+                part.append((i, i + at))
+                chance *= self.y.count[self.p[i]] / n
+        return out
+
+    def _most(self, stretches: list, least: int) -> int:
+        """The most of ``least`` successive passage words that stand in any of the stretches (passage from, to, ...)."""
+        size = len(self.p)
+        inside = [0] * (size + 1)
+        for i in {i for s in stretches for i in range(s[0], s[1] + 1)}:
+            inside[i + 1] = 1
+        before = list(accumulate(inside))
+        return max(before[min(i + least, size)] - before[i] for i in range(size))
+
+    def longest(self, least: int) -> tuple[int, int, int]:
+        """The longest run in the text: (passage words, first, last word of the text); zeros if it can't have ``least`` words.
+
+        Stretches with two exact words are sought in the whole text, lone exact words only around those that are no chance.
+        Two thirds of a run's words must be in such stretches, and half of them by exact words alone.
+        """
+        exact, n = self._exact(), len(self.t)
+        if self._most([e for e in exact if e[2] < FIRM], least) < least // 2:
+            return 0, 0, 0
+        pairs = [at for e in exact if e[2] < START for at in e[3]]
+        firm = [s for s in self._segments(pairs) if self._chance(s[0], s[1]) * n < FIRM]
+        if self._most(firm, least) < least * 2 // 3:
+            return 0, 0, 0
+        around = {j for s in firm for j in range(max(0, s[2] - NEAR), min(n, s[3] + NEAR + 1))}
+        segs = self._segments([*pairs, *((i, j) for j in around for i in self.at.get(self.t[j], ()))])
+        # Best chain ending with each stretch: net score, run start in the passage, first text word, chance.
+        best: list[tuple[float, int, int, float]] = []
+        by_end: dict[int, list[int]] = defaultdict(list)  # in order of the text
         top = (0, 0, 0)
-        for n, (i0, i1, j0, j1) in enumerate(segs):
-            here = (float(i1 - i0 + 1), i0, j0)
+        sure: list[tuple[int, int, int, int]] = []  # chains that are no chance: first text word, last, passage from, to
+        for m1, (i0, i1, j0, j1) in enumerate(segs):
+            own = self._chance(i0, i1)
+            here = (float(i1 - i0 + 1), i0, j0, own)
             for cut in range(min(3, i1 - i0 + 1)):  # the stretch before may have run on by chance
-                for m in by_end.get(i0 + cut - 1, ()):
-                    gap = j0 + cut - segs[m][3] - 1
-                    if 0 <= gap <= SPAN:
-                        e = j0 + cut
+                e = j0 + cut
+                for m in reversed(by_end.get(i0 + cut - 1, ())):
+                    gap = e - segs[m][3] - 1
+                    if gap > SPAN:
+                        break
+                    if gap >= 0 and (gap <= NEAR or own * n < FIRM):
                         edge = gap == 0 or (self.y.last[segs[m][3]] <= 1 and self.y.first[min(e, j1)] <= 1)
                         score = best[m][0] + (i1 - i0 + 1 - cut) - (EDGE if edge else JUMP) - 0.002 * gap
                         if score > here[0]:
-                            here = (score, best[m][1], best[m][2])
+                            here = (score, best[m][1], best[m][2], best[m][3] * min(1.0, (gap + 1) * self._chance(i0 + cut, i1)))
             best.append(here)
-            by_end[i1].append(n)
+            by_end[i1].append(m1)
             for back in (1, 2):  # and this one, too
                 if i1 - back > i0:
-                    by_end[i1 - back].append(n)
+                    by_end[i1 - back].append(m1)
             if i1 - here[1] + 1 > top[0]:
                 top = (i1 - here[1] + 1, here[2], j1)
+            sure += [(b, j1, a, i1) for a, b, chance in {here[1:], (i0, j0, own)} if chance * n < SURE]
+        return self._joined(sure, top)
+
+    def _joined(self, sure: list[tuple[int, int, int, int]], top: tuple[int, int, int]) -> tuple[int, int, int]:
+        """The longest run when chains that are no chance are joined over any distance, or ``top`` if that is longer."""
+        reach: dict[int, tuple[int, int]] = {}  # passage word -> the run that ends with it: least passage word, first text word
+        waiting: list[tuple[int, int, int, int]] = []  # runs by their last text word
+        for j0, j1, i0, i1 in sorted(sure):
+            while waiting and waiting[0][0] < j0:
+                _, end, a, b = heappop(waiting)
+                for e in range(max(a, end - 2), end + 1):  # it may have run on by chance
+                    reach[e] = min(reach.get(e, (a, b)), (a, b))
+            a, b = min((reach[i] for i in range(i0 - 1, min(i0 + 2, i1)) if i in reach), default=(i0, j0))
+            if a > i0:
+                a, b = i0, j0
+            if i1 - a + 1 > top[0]:
+                top = (i1 - a + 1, b, j1)
+            heappush(waiting, (j1, i1, a, b))
         return top
 
 

@@ -110,3 +110,19 @@ def test_find_reports_all_items_and_places(spark):
     assert r.run_words >= 25 and part(0, 25) in text[r.first_char : r.last_char]
     assert find(docs.limit(0), items, text="t").count() == 0 and find(docs, items.limit(0), text="t").count() == 0
     assert find(docs, items, text="t", block=1).count() == len(got)
+
+
+def test_interruptions_of_any_length(passages):
+    found = [0, 0, 0, 0]
+    for k in range(30):
+        for n, (first, gap) in enumerate(((13, 180), (9, 400), (9, 3000), (12, 6000))):
+            text = f"{filler(30)}\n{part(k, first)}\n{filler(gap)}\n{part(k, 18 - first, 10 + first)}\n{filler(30)}"
+            found[n] += k in hits(passages, text)
+    assert min(found[:3]) >= 27 and found[3] >= 24, found  # six words among 6,000 may be too common to tell from chance
+
+
+def test_far_words_that_go_on_by_chance_are_no_case(passages):
+    other = lambda n: " ".join("".join(RNG.choice("hjqwxy") for _ in range(RNG.randint(2, 8))) for _ in range(n))
+    for k in range(30):
+        lone = "\n".join(f"{other(400)}\n{part(k, 1, i)}\n" for i in range(25, 29))
+        assert k not in hits(passages, f"{other(30)}\n{part(k, 15)}\n{lone}{other(30)}")
