@@ -253,7 +253,8 @@ FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM em
 
 def vector_aggregate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3 + 1).cast("double").alias("w"), F.col("embedding").cast("array<double>").alias("x"))
-    sums = e.groupBy("label").agg(axpy_array_aggregate(F.col("w"), F.col("x"), 16).alias("s"))
+    size = e.agg(F.max(F.size("x"))).first()[0] or 0
+    sums = e.groupBy("label").agg(axpy_array_aggregate(F.col("w"), F.col("x"), size).alias("s"))
     return sums.select("label", F.posexplode("s").alias("pos", "v")).select("label", "pos", F.round("v", 5).alias("total"))
 
 

@@ -46,3 +46,15 @@ def test_aggregates(spark):
     r = df.agg(f.axpy_array_aggregate(F.col("w"), F.col("v"), 2), f.weighted_mean_array(F.col("w"), F.col("v"), 2), f.axpy_matrix_aggregate(F.col("w"), m, 2, 1), f.latest_state_likelihood(F.col("ll"), F.col("i"), F.col("v"), F.col("w"))).first()
     assert r[0] == [7.0, 2.0] and np.allclose(r[1], [2.0, 2 / 3.5]) and r[2].values == [7.0, 2.0]
     assert (r[3].loglikelihood, r[3].stateIndex, r[3].state, r[3].stateCovariance) == (12.0, 2, [3.0, -1.0], 2.0)
+
+
+def test_vector_aggregate_query_sums_whole_vectors(spark, tmp_path):
+    from driftwell.plans.state_queries import vector_aggregate
+
+    x = np.random.default_rng(5).normal(size=(12, 64)).astype("float32")
+    rows = [(i, f"l{i % 2}", x[i].tolist()) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.label, r.pos): r.total for r in vector_aggregate(spark, str(tmp_path)).collect()}
+    assert set(got) == {(f"l{k}", p) for k in (0, 1) for p in range(64)}
+    for (label, pos), total in got.items():
+        assert np.isclose(total, sum((i % 3 + 1) * float(x[i, pos]) for i in range(12) if f"l{i % 2}" == label), atol=1e-5)
