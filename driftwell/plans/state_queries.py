@@ -275,7 +275,7 @@ LATEST_STATE = "SELECT user_id, round(sum(value), 4) AS loglik, max(event_id) AS
 
 def lkf_sensors(spark: SparkSession, d: str) -> DataFrame:
     """The linear filter over all of kalman_input, with each row's optional models."""
-    f = E.LinearKalmanFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", stateSize=2, initialStateDistributionCol="initial_state", measurementNoiseCol="measurement_noise", processNoise=[[0.01, 0.0], [0.0, 0.001]], calculateSlidingLikelihood=True)
+    f = E.LinearKalmanFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", stateSize=2, initialStateDistributionCol="initial_state", measurementModelCol="measurement_model", measurementNoiseCol="measurement_noise", processModelCol="process_model", processNoiseCol="process_noise", controlCol="control", controlFunctionCol="control_function", processNoise=[[0.01, 0.0], [0.0, 0.001]], calculateSlidingLikelihood=True)
     out = f.transform(table(spark, d, "kalman_input"))
     return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), F.get("state.mean", F.lit(0)).alias("level"), "slidingLikelihood")
 

@@ -392,3 +392,36 @@ def test_online_mixtures_follow_the_formulas(spark):
         assert np.allclose(r["mixtureModel"]["weights"], w) and np.isclose(r["loglikelihood"], ll)
         for d, x in zip(r["mixtureModel"]["distributions"], p, strict=True):
             assert np.allclose(d["mean"], x["mean"]) and np.allclose(d["covariance"]["values"], x["cov"].ravel("F"))
+
+
+def test_lkf_sensors_uses_every_optional_model(spark, tmp_path):
+    from driftwell.plans.state_queries import lkf_sensors
+
+    mat = "struct<num_rows int, num_cols int, vals array<double>>"
+    gau = f"struct<mean array<double>, covariance {mat}>"
+    ddl = f"record_id long, state_key string, initial_state {gau}, measurement array<double>, measurement_model {mat}, measurement_noise {mat}, process_model {mat}, process_noise {mat}, control array<double>, control_function {mat}, event_time timestamp"
+    rng, rows, want = np.random.default_rng(8), [], {}
+    pack = lambda m: (*m.shape, m.T.ravel().tolist())
+    for key in ("s/level/1", "s/level/2"):
+        x, p = np.array([1.0, 0.5]), np.eye(2)
+        for t in range(40):
+            own = rng.random(5) < 0.4
+            h = np.array([[1.0, round(rng.normal(), 3)]]) if own[0] else None
+            f = np.array([[1.0, 1.0], [0.0, 1.0]]) if own[1] else None
+            q = 0.3 * np.eye(2) if own[2] else None
+            r = np.array([[2.0]]) if own[3] else None
+            b = np.array([[1.0], [round(rng.normal(), 3)]]) if own[4] else None
+            u = [float(rng.normal())] if own[4] and t % 3 else None
+            z = None if t % 9 == 4 else [float(rng.normal(3, 2))]
+            rows.append((len(rows), key, ([1.0, 0.5], pack(np.eye(2))) if t == 0 else None, z, *(None if m is None else pack(m) for m in (h, r, f, q)), u, None if b is None else pack(b), START + timedelta(minutes=t)))
+            h, f, q, r = (d if m is None else m for m, d in ((h, np.array([[1.0, 0.0]])), (f, np.eye(2)), (q, np.diag([0.01, 0.001])), (r, np.eye(1))))
+            x, p = f @ x + (b @ u if u is not None else 0.0), f @ p @ f.T + q
+            if z is not None:
+                k = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+                x, p = x + k @ (z - h @ x), (np.eye(2) - k @ h) @ p
+            want[key, t + 1] = x[0]
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "kalman_input.parquet"))
+    got = {(r.state_key, r.state_index): r.level for r in lkf_sensors(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    for k, level in want.items():
+        assert np.isclose(got[k], level), k
