@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.operators import eager, grid, late, quantiles, shred
+from driftwell.operators import eager, grid, late, shred
 from driftwell.operators.spikes import faulty_residuals, spikes
 from driftwell.sources import table
 
-PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-
 
 def p1_spikes(spark: SparkSession, d: str) -> DataFrame:
     inputs = spikes(table(spark, d, "kalman_input"), table(spark, d, "sensor_kinds"))
@@ -160,27 +158,5 @@ SELECT state_key, p AS period_epoch, as_of AS as_of_batch, count(*) AS n, count(
 FROM x JOIN b USING (state_key, p) WHERE x.b <= as_of GROUP BY 1, 2, 3
 """
 
-_LIKELIHOODS = (("kalman_output", "sliding_likelihood"), ("gaussian_mixture_output", "loglikelihood"))
-
-
-def _percentiles(spark: SparkSession, d: str, eps: float) -> DataFrame:
-    parts = [quantiles.percentiles(table(spark, d, t), c, PROBS, eps=eps).select(F.lit(t).alias("src"), F.col("key").alias("state_key"), "p", "value", "n") for t, c in _LIKELIHOODS]
-    return parts[0].unionByName(parts[1])
-
-
-def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _percentiles(spark, d, 0.0)
-
-
-def p6_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return _percentiles(spark, d, 0.001).select("src", "state_key", "p", F.col("value").alias("value_near"), "n")
-
-
-P6_PERCENTILES = " UNION ALL ".join(
-    f"""SELECT '{t}' AS src, state_key, p, v AS value, n FROM (SELECT state_key, {c} AS v, row_number() OVER (PARTITION BY state_key ORDER BY {c}) AS r, count(*) OVER (PARTITION BY state_key) AS n
-    FROM {t} WHERE {c} IS NOT NULL AND NOT isnan({c})), (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PROBS)}]) AS p) WHERE r = greatest(1, ceil(p * n))"""
-    for t, c in _LIKELIHOODS
-)
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_components, p3_found, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions, p6_percentiles, p6_percentiles_by_day)}
-SQL = {"p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS, "p6_percentiles": P6_PERCENTILES}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_components, p3_found, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
+SQL = {"p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import eager, grid, late, quantiles, shred
+from driftwell.operators import eager, grid, late, shred
 from driftwell.operators.sequence import in_chunks, with_positions
 from driftwell.operators.spikes import faulty_residuals, spikes
 
@@ -253,31 +253,6 @@ def test_frontier_statistics_and_versions(spark):
     assert late.period_stats(late.multiset(late.with_frontier(df.limit(0)), F.col("v"))).count() == 0
 
 
-# -- percentiles -------------------------------------------------------------------------------------
-
-
-def test_multi_select_against_sorting(spark):
-    rng = np.random.default_rng(11)
-    rows = [("hot", float(x)) for x in rng.standard_cauchy(3000)] + [("ties", float(x)) for x in rng.integers(0, 90, 800)] + [("one", 5.0), ("inf", float("inf")), ("inf", float("-inf")), ("inf", 0.0), ("nan", float("nan")), ("null", None), (None, 3.0), (None, 4.0)]
-    df = spark.createDataFrame(rows, "state_key string, v double").withColumn("event_time", F.timestamp_seconds(F.rand(1) * 400_000))
-    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    values = defaultdict(list)
-    for k, v in rows:
-        if v is not None and not math.isnan(v):
-            values[k].append(v)
-    for small, eps in ((16, 0.0), (4096, 0.0), (16, 0.01)):
-        got = {(r["key"], r["p"]): r for r in quantiles.percentiles(clashing(df), "v", probs, small=small, proposers=4, eps=eps).collect()}
-        assert set(got) == {(k, p) for k in values for p in probs}
-        for (k, p), r in got.items():
-            vs = sorted(values[k])
-            want = vs[max(1, math.ceil(p * len(vs))) - 1]
-            assert r["n"] == len(vs) and (r["value"] == want if eps == 0 else r["value"] == want or abs(r["value"] - want) <= eps * abs(want) + 1e-12)
-    days = quantiles.day_states(df, "v")
-    parts = [days.where(F.col("day") % 2 == i) for i in (0, 1)]
-    assert sorted(map(str, quantiles.combine_days(parts[0].unionByName(parts[1])).collect())) == sorted(map(str, quantiles.combine_days(days).collect()))
-    assert quantiles.percentiles(df.limit(0), "v", probs).count() == 0
-
-
 def test_queries_and_sql_names_agree():
     import __spark_entry__ as e
 
