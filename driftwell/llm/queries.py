@@ -3,10 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwell.llm import encoding, leaks, packing
+from driftwell.llm import encoding, leaks, packing, quantiles
+from driftwell.session import stage
 from driftwell.sources import table
 
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+EPS = 0.001
+_LIKELIHOODS = (("kalman_output", "sliding_likelihood"), ("gaussian_mixture_output", "loglikelihood"))
+
+
+def _likelihoods(spark: SparkSession, d: str) -> DataFrame:
+    """Both columns as one, keyed by table and state key."""
+    parts = [table(spark, d, t).select(F.struct(F.lit(t).alias("src"), "state_key").alias("source"), "event_time", F.col(c).alias("likelihood")) for t, c in _LIKELIHOODS]
+    return parts[0].unionByName(parts[1])
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select("key.src", "key.state_key", "p", "value", "n")
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _named(quantiles.percentiles(_likelihoods(spark, d), "likelihood", PROBS, key="source"))
+
+
+def p6_percentiles_all_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p6_percentiles``, with rounds of pivots down to ranges of a few rows."""
+    return _named(quantiles.percentiles(_likelihoods(spark, d), "likelihood", PROBS, key="source", small=16))
+
+
+def p6_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles combined from states that were written day by day, beside the exact ones: whether each is within the bound."""
+    rows = _likelihoods(spark, d)
+    days = stage(quantiles.day_states(rows, "likelihood", key="source", eps=EPS), "day")
+    near = _named(quantiles.multi_select(quantiles.combine_days(days), PROBS)).withColumnRenamed("value", "near")
+    exact = p6_percentiles(spark, d)
+    on = (near["src"] == exact["src"]) & near["state_key"].eqNullSafe(exact["state_key"]) & (near["p"] == exact["p"])
+    within = (F.col("near") == F.col("value")) | (F.abs(F.col("near") - F.col("value")) <= EPS * F.abs("value"))
+    return exact.join(near, on, "left").select(exact["src"], exact["state_key"], exact["p"], exact["n"], F.coalesce(within & (near["n"] == exact["n"]), F.lit(False)).alias("within_bound"))
+
+
+P6_PERCENTILES = " UNION ALL ".join(
+    f"""SELECT '{t}' AS src, state_key, p, v AS value, n FROM (SELECT state_key, {c} AS v, row_number() OVER (PARTITION BY state_key ORDER BY {c}) AS r, count(*) OVER (PARTITION BY state_key) AS n
+    FROM {t} WHERE {c} IS NOT NULL AND NOT isnan({c})), (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PROBS)}]) AS p) WHERE r = greatest(1, ceil(p * n))"""
+    for t, c in _LIKELIHOODS
+)
+P6_BY_DAY = f"SELECT src, state_key, p, n, TRUE AS within_bound FROM ({P6_PERCENTILES})"
+
 
 def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes")).withColumnRenamed("item_id", "doc_id")
@@ -39,5 +83,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_packs, p7_utilisation, p8_found, p8_leaks, p9_found, p9_restored)}
-SQL = {"p7_found": P7_FOUND}
+QUERIES = {f.__name__: f for f in (p6_percentiles, p6_percentiles_all_rounds, p6_percentiles_by_day, p7_found, p7_packs, p7_utilisation, p8_found, p8_leaks, p9_found, p9_restored)}
+SQL = {"p6_percentiles": P6_PERCENTILES, "p6_percentiles_all_rounds": P6_PERCENTILES, "p6_percentiles_by_day": P6_BY_DAY, "p7_found": P7_FOUND}
