@@ -1,15 +1,16 @@
-"""Evaluation passages inside corpus documents: one automaton, one pass over every text.
+"""Evaluation items inside corpus documents: one automaton, one pass over every text.
 
-The automaton holds a piece of each passage from every word on, as letters and digits only, so line ends,
-hyphens and punctuation don't matter. Its hits carry passage and position, and are mapped back to the words of the
-text. Passages with several hits are then followed word by word through the whole text, through misread letters,
-broken and joined words, and over other columns' lines and adverts of any length, and the longest run of successive
-words is measured.
+The automaton holds the whole questions and answers, and pieces of the passages from every letter on, as letters and
+digits only, so case, line ends, hyphens and punctuation don't matter. Its hits carry item and position, and are mapped
+back to the words and signs of the original text. Passages with enough pieces in line are then followed word by word through
+the whole text, through misread letters, broken and joined words, and over other columns' lines and adverts of any length,
+and the longest run of successive words is measured.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -18,13 +19,16 @@ from itertools import accumulate
 from math import prod
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 15  #: letters of a piece; a passage word starts each piece
-BLOCK = 20_000  #: passages in one automaton; more are searched in several passes
-LEAST_HITS = 5  #: passage words with hits, anywhere in the text, that make a passage worth following: an 18-word run has some 15, fewer if parted or misread
+from driftwell.llm.workers import once_per_process
+
+PIECE = 10  #: letters of a piece; one starts at every letter of a passage
+LETTERS = 14  #: letters that pieces in line must cover for a passage to be followed
+BLOCK_BYTES = 1_000_000  #: wording in one automaton (some 200 bytes of memory a letter); more is searched in several passes
 NEAR, SPAN = 125, 250  #: words of the text up to which a jump is judged by its cost alone, or by cost if what follows is FIRM; beyond, both sides must be SURE
 START, FIRM, SURE = 1e-2, 1e-5, 1e-9  #: copies of a stretch expected by chance in the whole text, for following it, for looking around it and for joining it over any distance
 EDGE, JUMP = 0.75, 2.25  #: cost in words of a jump between line parts, and of one elsewhere
@@ -40,8 +44,8 @@ _CHEAP = {(p[0], p[1]) for p in ALIKE.split()} | {(p[1], p[0]) for p in ALIKE.sp
 
 
 def normal(text: str) -> str:
-    """Case folded, with signs that are misread letters inside words put back."""
-    text = text.casefold()
+    """Case folded, with signs that are misread letters inside words put back. Signs may grow (``ß``), none is dropped."""
+    text = text.replace("İ", "i").casefold()
     if "!" in text or "(" in text or "|" in text:
         text = re.sub(r"[!|](?=[^\W_])", "l", text)
         text = re.sub(r"\((?=[^\W_])", "c", text)
@@ -63,85 +67,207 @@ def _near(a: str, b: str) -> bool:
     room = 0.34 * len(a) + 0.07
     if len({*a} - {*b}) > 2 * room + 1:  # a letter that isn't there costs 0.4 at least
         return False
-    n = len(b)
-    old, row = [], list(range(n + 1))
-    for i in range(1, len(a) + 1):
-        x = a[i - 1]
-        cur = [i]
-        for j in range(1, n + 1):
-            y = b[j - 1]
+    old: list[float] = []
+    row: list[float] = list(range(len(b) + 1))
+    before = ""
+    for i, x in enumerate(a, 1):
+        cur: list[float] = [i]
+        left, least, y1 = i, i, ""
+        for j, y in enumerate(b, 1):
             v = row[j - 1]
             if x != y:
                 v += 0.4 if (x, y) in _CHEAP else 1
-                v = min(v, row[j] + 1, cur[j - 1] + 1)
-                if j > 1 and (x, b[j - 2 : j]) in _GROUPED:
-                    v = min(v, row[j - 2] + 0.4)
-                if i > 1 and (y, a[i - 2 : i]) in _GROUPED:
-                    v = min(v, old[j - 1] + 0.4)
+                if left + 1 < v:
+                    v = left + 1
+                if row[j] + 1 < v:
+                    v = row[j] + 1
+                if j > 1 and (x, y1 + y) in _GROUPED and row[j - 2] + 0.4 < v:
+                    v = row[j - 2] + 0.4
+                if i > 1 and (y, before + x) in _GROUPED and old[j - 1] + 0.4 < v:
+                    v = old[j - 1] + 0.4
             cur.append(v)
-        if min(cur) > room and min(row) > room:
+            left, y1 = v, y
+            if v < least:
+                least = v
+        if least > room and min(row) > room:
             return False
-        old, row = row, cur
-    return row[n] <= room
+        old, row, before = row, cur, x
+    return row[-1] <= room
+
+
+def original_places(text: str, places: list[int]) -> list[int]:
+    """Places in ``normal(text)`` as places in ``text``."""
+    if not places:
+        return places
+    grown = {c: n - 1 for c in {*text} if c != "İ" and (n := len(c.casefold())) > 1}
+    if not grown:
+        return places
+    starts = np.arange(len(text)) + np.cumsum([0, *(grown.get(c, 0) for c in text[:-1])])
+    return (np.searchsorted(starts, places, "right") - 1).tolist()
 
 
 class Passages:
-    """The automaton over passages, and what each piece stands for."""
+    """The automaton over passages and whole strings (questions, answers), and what each of its entries stands for."""
 
-    def __init__(self, texts: list[str], piece: int = PIECE) -> None:
+    def __init__(self, texts: list[str], whole: list[str] = (), piece: int = PIECE) -> None:
         self.words = [words(t) for t in texts]
         self.at: list[dict[str, list[int]]] = []
         self.piece = piece
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        #: Of every entry: (passage, offset of the piece, next word, letters up to it), and whole strings.
+        entries: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
         for k, ws in enumerate(self.words):
-            stream = "".join(ws)
-            begin = 0
+            stream, begin = "".join(ws), [0, *accumulate(map(len, ws))]
             at: dict[str, list[int]] = defaultdict(list)
             for i, w in enumerate(ws):
-                if len(stream) - begin >= piece:
-                    found[stream[begin : begin + piece]].append((k, i))
                 at[w].append(i)
-                begin += len(w)
             self.at.append(at)
+            word = 0
+            for o in range(len(stream) - piece + 1):
+                while begin[word] < o:
+                    word += 1
+                if begin[word] < min(o + piece, len(stream)):
+                    entries[stream[o : o + piece]].append((k, o, word, begin[word] - o))
+        self.whole_words = [len(words(t)) for t in whole]
+        self.whole: dict[int, list[int]] = defaultdict(list)
+        number = {letters: n for n, letters in enumerate(entries)}
+        for n, t in enumerate(whole):
+            letters = "".join(words(t))
+            if letters:
+                entries[letters]  # noqa: B018 - an entry without pieces
+                self.whole[number.setdefault(letters, len(number))].append(n)
+        vocabulary = sorted({w for ws in self.words for w in ws})
+        self.ids = {w: n for n, w in enumerate(vocabulary)}
+        self.coded = [np.array([self.ids[w] for w in ws], np.int64) for ws in self.words]
+        self.letters = np.array([len(e) for e in entries], np.int64)
+        self.where = np.array([x for xs in entries.values() for x in xs], np.int64).reshape(-1, 4)
+        self.first = np.r_[0, np.cumsum([len(xs) for xs in entries.values()], dtype=np.int64)]
         self.automaton = ahocorasick.Automaton()
-        for p, where in found.items():
-            self.automaton.add_word(p, where)
-        if found:
+        for n, letters in enumerate(entries):
+            self.automaton.add_word(letters, n)
+        if entries:
             self.automaton.make_automaton()
 
-    def search(self, text: str, least: int) -> list[tuple[int, int, int, int]]:
-        """(passage, run length, first word, last word of the text) of every passage with a run of at least ``least`` words."""
-        if not len(self.automaton):
-            return []
+    def search(self, text: str, least: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+        """Passages with a run of at least ``least`` words, and whole strings: (number, words, first, end sign of the original text)."""
         folded = normal(text)
-        toks = WORD.findall(folded)
-        if len(toks) < 2:
+        spans = [m.span() for m in WORD.finditer(folded)]
+        if not spans or not len(self.automaton):
+            return [], []
+        toks = [folded[a:z] for a, z in spans]
+        found = np.array(list(self.automaton.iter("".join(toks))), np.int64).reshape(-1, 2)
+        if not len(found):
+            return [], []
+        end, entry = found[:, 0], found[:, 1]
+        begin = np.r_[0, np.cumsum([len(t) for t in toks])]
+        runs = self._runs(end, entry, begin, folded, toks, least)
+        strings = []
+        if self.whole:
+            for e, n in zip(end.tolist(), entry.tolist(), strict=True):
+                if n in self.whole:
+                    a, z = (int(np.searchsorted(begin, x)) for x in (e + 1 - self.letters[n], e + 1))
+                    if begin[a] == e + 1 - self.letters[n] and begin[z] == e + 1:  # whole words of the text
+                        strings += [(w, self.whole_words[w], a, z - 1) for w in self.whole[n]]
+        made = []
+        for hits in (runs, strings):
+            ends = original_places(text, [x for _, _, a, z in hits for x in (spans[a][0], spans[z][1] - 1)])
+            made.append([(k, size, ends[2 * h], ends[2 * h + 1] + 1) for h, (k, size, _, _) in enumerate(hits)])
+        return made[0], made[1]
+
+    def _runs(self, end: np.ndarray, entry: np.ndarray, begin: np.ndarray, folded: str, toks: list[str], least: int) -> list[tuple[int, int, int, int]]:
+        """(passage, run length, first word, last word of the text) of the passages with a run of ``least`` words."""
+        many = self.first[entry + 1] - self.first[entry]
+        row = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[entry], many)
+        at, end = self.where[row], np.repeat(end, many)
+        k = at[:, 0]
+        likely = self._in_line(k, at[:, 1], end) if len(k) else k
+        if not len(likely):
             return []
-        hits: dict[int, set[int]] = defaultdict(set)
-        for _, where in self.automaton.iter("".join(toks)):
-            for k, i in where:
-                hits[k].add(i)
-        out = []
-        layout = None
-        for k, h in hits.items():
-            if len(h) < LEAST_HITS:
-                continue
+        chosen = np.isin(k, likely)
+        k, at, end = k[chosen], at[chosen], end[chosen]
+        word = np.searchsorted(begin, end - self.piece + 1 + at[:, 3], "right") - 1
+        layout, out = None, []
+        for p, exact in self._exact(likely, toks, least):
+            own = k == p
             layout = layout or _Layout(folded, toks)
-            run = _Follow(self.words[k], self.at[k], toks, layout).longest(least)
+            hits = [(i, j) for i, j in {*zip(at[own, 2].tolist(), word[own].tolist(), strict=True)} if alike(self.words[p][i], toks[j])]
+            run = _Follow(self.words[p], self.at[p], toks, layout).longest([*exact, *sorted(hits)], least)
             if run[0] >= least:
-                out.append((k, *run))
+                out.append((p, *run))
         return out
 
+    def _exact(self, likely: np.ndarray, toks: list[str], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """The passages of which two thirds of the least run stand in stretches of exact words that are hardly chance, and the (passage word, text word) of these.
+
+        Such a stretch has words side by side or one apart, at the same distance between passage and text.
+        """
+        n, size = len(toks), len(self.ids) + 1
+        text = np.array([self.ids.get(t, -1) for t in toks], np.int64)
+        chance = np.log(np.maximum(np.bincount(text + 1, minlength=size), 1) / n)
+        held = [self.coded[p] for p in likely.tolist()]
+        sizes = np.array([len(h) for h in held])
+        begin = np.r_[0, np.cumsum(sizes)]
+        joined = np.concatenate(held)
+        owner = np.repeat(np.arange(len(held)), sizes)
+        rows = []
+        for d in (1, 2):
+            if n <= d:
+                continue
+            first = np.flatnonzero((text[:-d] >= 0) & (text[d:] >= 0))
+            codes = text[first] * size + text[first + d]
+            order = np.argsort(codes, kind="stable")
+            codes, first = codes[order], first[order]
+            at = np.flatnonzero(owner[:-d] == owner[d:]) if len(joined) > d else np.zeros(0, np.int64)
+            wanted = joined[at] * size + joined[at + d]
+            lo = np.searchsorted(codes, wanted, "left")
+            many = np.searchsorted(codes, wanted, "right") - lo
+            w = np.repeat(at, many)
+            j = first[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+            rows += [(w, j), (w + d, j + d)]
+        w, j = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 2
+        if not len(w):
+            return
+        # One row per passage word and text word, ordered by passage, shift and passage word.
+        shift = j - (w - begin[owner[w]])
+        key = np.sort((owner[w] * (2 * n + len(joined)) + shift + len(joined)) * len(joined) + w)
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        w, line = key % len(joined), key // len(joined)
+        j = line % (2 * n + len(joined)) - len(joined) + w - begin[owner[w]]
+        start = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (w[1:] - w[:-1] > 2)])
+        ends = np.r_[start[1:], len(w)]
+        rare = np.add.reduceat(chance[joined[w] + 1], start) < np.log(START / n)
+        change = np.zeros(len(joined) + 1, np.int64)
+        np.add.at(change, w[start[rare]], 1)
+        np.add.at(change, w[ends[rare] - 1] + 1, -1)
+        upto = np.r_[0, np.cumsum(np.cumsum(change)[:-1] > 0)]
+        last = np.minimum(np.arange(len(joined)) + least, begin[owner + 1])
+        most = np.maximum.reduceat(upto[last] - upto[:-1], begin[:-1])
+        keep = np.repeat(rare, ends - start) & (most >= least * 2 // 3)[owner[w]]
+        w, j = w[keep], j[keep]
+        cuts = np.searchsorted(owner[w], np.arange(len(held) + 1))
+        for c in np.flatnonzero(most >= least * 2 // 3).tolist():
+            a, z = cuts[c], cuts[c + 1]
+            yield int(likely[c]), list(zip((w[a:z] - begin[c]).tolist(), j[a:z].tolist(), strict=True))
+
+    def _in_line(self, k: np.ndarray, o: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The passages of which pieces at the same distance between passage and text (give or take a letter) cover ``LETTERS`` letters."""
+        d = end - o
+        order = np.lexsort((o, d, k))
+        k, d, o = k[order], d[order], o[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+        adds = np.where(new, self.piece, np.minimum(np.r_[0, np.diff(o)], self.piece))
+        start = np.flatnonzero(new)
+        cover = np.add.reduceat(adds, start)
+        k, d = k[start], d[start]
+        beside = np.r_[(k[1:] == k[:-1]) & (d[1:] == d[:-1] + 1), False]
+        both = cover + np.where(beside, np.r_[cover[1:], 0], 0)
+        return np.unique(k[both >= LETTERS])
+
 
 class _Layout:
-    """For each word of a text: its line part, its place from the part's start and end, and whether it is broken off; how often each word occurs, and where two words stand side by side or one apart."""
+    """For each word of a text: its line part, its place from the part's start and end, and whether it is broken off; how often each word occurs."""
 
     def __init__(self, folded: str, toks: list[str]) -> None:
         self.count = Counter(toks)
-        self.pairs: dict[tuple[str, str, int], list[int]] = defaultdict(list)
-        for d in (1, 2):
-            for j, (a, b) in enumerate(zip(toks, toks[d:], strict=False)):
-                self.pairs[a, b, d].append(j)
         self.first: list[int] = []
         self.last: list[int] = []
         self.broken: list[bool] = []
@@ -193,11 +319,6 @@ class _Follow:
             return 1, 1
         return 0, 0
 
-    def _pairs(self) -> list[tuple[int, int]]:
-        """(passage word, text word) of the exact words with another one beside or one apart, in the whole text."""
-        p, pairs = self.p, self.y.pairs
-        return [(i + o, j + o) for d in (1, 2) for i in range(len(p) - d) for j in pairs.get((p[i], p[i + d], d), ()) for o in (0, d)]
-
     def _segments(self, exact: Iterable[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """Unbroken stretches (passage from, to, text from, to; inclusive) with one of the exact words, by where they end in the text."""
         done: set[tuple[int, int]] = set()
@@ -228,21 +349,6 @@ class _Follow:
         c, n = self.y.count, len(self.t)
         return prod(c[w] / n for w in self.p[i0 : i1 + 1] if w in c)
 
-    def _exact(self) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
-        """Stretches of exact words beside or one apart: passage words (from, to), copies expected by chance, (passage word, text word) of each."""
-        out: list[tuple[int, int, float, list[tuple[int, int]]]] = []
-        shift, part, chance = None, [], 1.0
-        n = len(self.t)
-        for at, i in [*sorted({(j - i, i) for i, j in self._pairs()}), (None, 0)]:
-            if at != shift or i - part[-1][0] > 2:
-                if part:
-                    out.append((part[0][0], part[-1][0], chance * n, part))
-                shift, part, chance = at, [], 1.0
-            if at is not None:
-                part.append((i, i + at))
-                chance *= self.y.count[self.p[i]] / n
-        return out
-
     def _most(self, stretches: list, least: int) -> int:
         """The most of ``least`` successive passage words that stand in any of the stretches (passage from, to, ...)."""
         size = len(self.p)
@@ -252,16 +358,13 @@ class _Follow:
         before = list(accumulate(inside))
         return max(before[min(i + least, size)] - before[i] for i in range(size))
 
-    def longest(self, least: int) -> tuple[int, int, int]:
+    def longest(self, pairs: list[tuple[int, int]], least: int) -> tuple[int, int, int]:
         """The longest run in the text: (passage words, first, last word of the text); zeros if it can't have ``least`` words.
 
-        Stretches with two exact words are sought in the whole text, lone exact words only around those that are no chance.
-        Two thirds of a run's words must be in such stretches, and half of them by exact words alone.
+        Stretches with one of the ``pairs`` (passage word, text word) are sought in the whole text, lone exact words only around those
+        that are no chance. Two thirds of a run's words must be in such stretches.
         """
-        exact, n = self._exact(), len(self.t)
-        if self._most([e for e in exact if e[2] < FIRM], least) < least // 2:
-            return 0, 0, 0
-        pairs = [at for e in exact if e[2] < START for at in e[3]]
+        n = len(self.t)
         firm = [s for s in self._segments(pairs) if self._chance(s[0], s[1]) * n < FIRM]
         if self._most(firm, least) < least * 2 // 3:
             return 0, 0, 0
@@ -314,50 +417,51 @@ class _Follow:
         return top
 
 
-def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 18, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, item_id, run_words, first_char, last_char)``: documents with at least ``least`` successive words of an item's passage.
+FOUND = "_whole boolean, _hash bigint, run_words int, first_char int, last_char int"
+
+
+def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", whole: tuple[str, ...] = (), least: int = 18, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, item_id, field, run_words, first_char, last_char)``: the documents and the fields of items that stand in them.
 
-    ``run_words`` is the longest run's length, ``first_char``, ``last_char`` its place in the original text (from 0, end exclusive). All
-    items of a passage are reported. Null and empty texts and passages, and passages shorter than ``least`` words,
+    A passage counts if at least ``least`` of its successive words stand in the text; ``run_words`` is the longest
+    run's length. The strings in the columns ``whole`` (questions, answers) count if they stand in the text in full, word for word, once
+    per place. ``first_char``, ``last_char`` are places in the original text (from 0, end exclusive). All items with the same passage or
+    string are reported. Null and empty texts and strings, and passages shorter than ``least`` words,
     match nothing; rows repeated in either table match each. Rows with null ids are kept as such.
 
-    The items are the stated query set; their passages are shipped to the workers in blocks of ``block``, each block
-    in one pass over the texts. The found pairs are joined with the items by passage.
+    The items are the stated query set; their strings are shipped to the workers in blocks of about ``block_bytes``, each block
+    in one pass over the texts. What is found is joined with the items by string.
     """
     spark = docs.sparkSession
     doc_type = docs.schema[doc_id].dataType.simpleString()
-    known = items.where(F.col(passage).isNotNull() & (F.trim(passage) != "")).select(F.col(item_id).alias("item_id"), F.col(passage).alias("_passage"), F.xxhash64(passage).alias("_hash"))
-    distinct = known.select("_passage", "_hash").distinct()
-    blocks = max(1, -(-distinct.count() // block))
-    schema = f"doc_id {doc_type}, _hash bigint, run_words int, first_char int, last_char int"
-    rows = docs.select(doc_id, text)
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(c != passage).alias("whole"), F.col(c).cast("string").alias("s")) for c in (passage, *whole)))
+    known = items.select(F.col(item_id).alias("item_id"), F.explode(fields).alias("_f")).select("item_id", "_f.field", F.col("_f.whole").alias("_w"), F.col("_f.s").alias("_s"), F.xxhash64("_f.s").alias("_h"))
+    known = known.where(F.col("_s").isNotNull() & (F.trim("_s") != ""))
+    distinct = known.select("_w", "_s", "_h").distinct()
+    blocks = max(1, -(-int(distinct.agg(F.sum(F.octet_length("_s"))).first()[0] or 0) // block_bytes))
+    schema = f"doc_id {doc_type}, {FOUND}"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = []
     for b in range(blocks):
-        own = distinct.where(F.pmod("_hash", F.lit(blocks)) == b).orderBy("_hash").collect()
-        shared = spark.sparkContext.broadcast([(r["_passage"], r["_hash"]) for r in own])
+        own = distinct.where(F.pmod("_h", F.lit(blocks)) == b).orderBy("_h").collect()
+        shared = spark.sparkContext.broadcast(tuple([(r["_s"], r["_h"]) for r in own if r["_w"] == w] for w in (False, True)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            texts, hashes = zip(*shared.value, strict=True) if shared.value else ((), ())
-            passages = Passages(list(texts))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            passages = once_per_process("passages", name, lambda: Passages(*([s for s, _ in part] for part in shared.value)))
+            hashes = [[h for _, h in part] for part in shared.value]
             for batch in batches:
-                ids, found = batch.column(0), []
+                found = []
                 for n, t in enumerate(batch.column(1).to_pylist()):
                     if t:
-                        hits = passages.search(t, least)
-                        if hits:
-                            spans = [m.span() for m in WORD.finditer(_marked(t))]
-                            found += [(n, hashes[k], size, spans[min(a, len(spans) - 1)][0], spans[min(z, len(spans) - 1)][1]) for k, size, a, z in hits]
+                        for w, hits in enumerate(passages.search(t, least)):
+                            found += [(n, w == 1, hashes[w][k], *rest) for k, *rest in hits]
                 if found:
-                    at, *cols = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["doc_id", "_hash", "run_words", "first_char", "last_char"])
+                    at, w, h, *places = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(w), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in places)], names=["doc_id", "_whole", "_hash", "run_words", "first_char", "last_char"])
 
         parts.append(rows.mapInArrow(run, schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(known, "_hash").select("doc_id", "item_id", "run_words", "first_char", "last_char")
-
-
-def _marked(text: str) -> str:
-    """The original text with misread letters marked as letters, sign for sign."""
-    return re.sub(r"[!|(](?=[^\W_])", "l", text)
+    joined = out.join(known, (F.col("_hash") == F.col("_h")) & (F.col("_whole") == F.col("_w")))
+    return joined.select("doc_id", "item_id", "field", "run_words", "first_char", "last_char")

@@ -68,11 +68,12 @@ def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Passages, questions and answers that leaked, with their places in the text."""
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), whole=("question", "answer"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:

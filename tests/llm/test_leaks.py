@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from driftwell.llm.leaks import Passages, alike, find, words
+from driftwell.llm.leaks import ALIKE, Passages, alike, find, words
 
 RNG = random.Random(3)
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
@@ -44,7 +44,7 @@ def passages():
 
 
 def hits(passages, text, least=18):
-    return {h[0]: h[1] for h in passages.search(text, least)}
+    return {h[0]: h[1] for h in passages.search(text, least)[0]}
 
 
 def part(k, n, at=10):
@@ -91,7 +91,7 @@ def test_changed_words_end_a_run(passages):
 
 
 def test_no_alarm_in_unrelated_text(passages):
-    assert not any(passages.search(filler(2000), 18) for _ in range(10))
+    assert not any(passages.search(filler(2000), 18)[0] for _ in range(10))
 
 
 def test_alike():
@@ -109,7 +109,7 @@ def test_find_reports_all_items_and_places(spark):
     r = next(r for r in got if r.doc_id == 1)
     assert r.run_words >= 25 and part(0, 25) in text[r.first_char : r.last_char]
     assert find(docs.limit(0), items, text="t").count() == 0 and find(docs, items.limit(0), text="t").count() == 0
-    assert find(docs, items, text="t", block=1).count() == len(got)
+    assert find(docs, items, text="t", block_bytes=400).count() == len(got)
 
 
 def test_interruptions_of_any_length(passages):
@@ -126,3 +126,30 @@ def test_far_words_that_go_on_by_chance_are_no_case(passages):
     for k in range(30):
         lone = "\n".join(f"{other(400)}\n{part(k, 1, i)}\n" for i in range(25, 29))
         assert k not in hits(passages, f"{other(30)}\n{part(k, 15)}\n{lone}{other(30)}")
+
+
+def misread(text, every):
+    """One misread letter in each ``every``-th word."""
+    other = {a: b for p in ALIKE.split() for a, b in (p, p[::-1])}
+    out = text.split()
+    for i in range(every - 1, len(out), every):
+        at = [k for k, c in enumerate(out[i]) if c in other]
+        if at:
+            k = RNG.choice(at)
+            out[i] = out[i][:k] + other[out[i][k]] + out[i][k + 1 :]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("every", [4, 3, 2])
+def test_recall_of_the_least_run_with_misread_letters(passages, every):
+    found = sum(k in hits(passages, f"{filler(60)} {misread(part(k, 18, at), every)} {filler(60)}") for k in range(30) for at in (0, 10, 20, 42))
+    assert found >= 0.9 * 120
+
+
+def test_questions_answers_and_places_in_the_original_text(spark):
+    items = spark.createDataFrame([(1, PASSAGES[0], "Which straße was\nlong?", "İzmir"), (2, None, "Which straße was long", None)], "item_id int, passage string, question string, answer string")
+    text = f"{'İ ß ' * 40}{part(0, 20)} ... WHICH Stras-\nse was-long! In izmir, not izmirs. {'ß' * 30}"
+    docs = spark.createDataFrame([(1, text), (2, "which strasse was longer"), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.field, text[r.first_char : r.last_char]) for r in find(docs, items, whole=("question", "answer")).collect())
+    assert [g[:3] for g in got] == [(1, 1, "answer"), (1, 1, "passage"), (1, 1, "question"), (1, 2, "question")]
+    assert got[0][3] == "izmir" and part(0, 20) in got[1][3] and got[2][3] == "WHICH Stras-\nse was-long"
