@@ -1,10 +1,22 @@
-"""Spikes, stuck runs and level shifts in one series (numpy only)."""
+"""Spikes, stuck runs and level shifts in one series (numpy only).
+
+A series is modelled as an autoregression of its differences: the forecast of a reading is a weighted mean of the
+readings before it (or after it; the model reads alike in both directions), with weights that add up to 1 and
+range from "the last reading" (a random walk) to "the mean of the last few" (noise about a slow level). Its statistics
+are counts, so they add up over the parts of a series, and spikes barely move them.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-NEAR = 7  #: readings on either side that make up "shortly before and after"
+ORDER = 5  #: differences that the autoregression looks back on
+BIN = 0.002  #: relative width of the bins in which absolute differences are counted
+PRIOR = 20  #: pairs of differences that speak for plain noise about a level, so that short series don't overfit
+ZERO, TINY = -(10**9), 1e-12  #: bin of differences up to ``TINY``
+#: Shares of the absolute differences by which the noise is told, and normal scores of these (fixed values).
+SHARES = ((0.5, 0.6745), (0.75, 1.1503), (0.9, 1.6449))
+NEVER_LESS = 0.7  #: part of the limit at which a change of level is noted; its readings are judged by the limit itself
 
 
 def run_lengths(values: np.ndarray) -> np.ndarray:
@@ -18,107 +30,149 @@ def run_lengths(values: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.r_[starts, n]), np.diff(np.r_[starts, n]))
 
 
-def noise(y: np.ndarray) -> float:
-    """Reading-to-reading noise: scaled median of absolute differences, at least that of the value grid."""
-    d = np.abs(np.diff(y))
-    up = d[d > 1e-12]
-    if not len(up):
-        return 0.0
-    return max(1.4826 * float(np.median(d)) / np.sqrt(2), float(up.min()) / np.sqrt(12))
-
-
-def _side_medians(y: np.ndarray, clean: np.ndarray, k: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Medians of the ``k`` clean readings before and after each reading; NaN where there are none."""
-    c = y[clean]
-    m = len(c)
-    head = np.full(m + 1, np.nan)  # head[j]: median of c[max(0, j-k):j]
-    tail = np.full(m + 1, np.nan)  # tail[j]: median of c[j:j+k]
-    for j in range(1, min(k, m + 1)):
-        head[j] = np.median(c[:j])
-        tail[m - j] = np.median(c[m - j :])
-    if m >= k:
-        mid = np.median(np.lib.stride_tricks.sliding_window_view(c, k), axis=1)
-        head[k:] = mid
-        tail[: m - k + 1] = mid
-    j = np.cumsum(clean) - clean
-    return head[j], tail[j + clean]
-
-
-def autoregression(u: np.ndarray, rounds: int = 4) -> tuple[float, float]:
-    """AR(1) coefficient by Huber-weighted least squares, and the robust scale of its residuals."""
-    x, y = u[:-1], u[1:]
-    weight, phi, scale = np.ones(len(x)), 0.0, 0.0
-    for _ in range(rounds):
-        r = y - phi * x
-        scale = 1.4826 * float(np.median(np.abs(r)))
-        if scale <= 0:
-            return phi, 0.0
-        size = np.maximum(np.abs(r), np.abs(x))
-        weight = np.minimum(1.0, 1.5 * scale / np.maximum(size, 1e-300))
-        xx = float(np.sum(weight * x * x))
-        phi = float(np.clip(np.sum(weight * x * y) / xx, -0.95, 0.95)) if xx > 0 else 0.0
-    return phi, 1.4826 * float(np.median(np.abs(y - phi * x)))
-
-
-def spikes(y: np.ndarray, limit: float = 6.0, lasting: int = 30, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Additive outliers of a series, and each reading's departure in units of the noise.
-
-    Rounds of tests on a robust AR(1) of the readings' distance to their local level: a reading
-    whose additive-outlier statistic stands out, and which lies at least ``limit`` times the noise
-    off both the clean readings before and those after it, on the same side, is taken out, and the
-    rest is tested again. Then level-shift tests: a stretch between two shifts that is shorter than
-    ``lasting`` and off both its neighbours is an outlier as a whole; a shift that lasts is none.
+def statistics(y: np.ndarray, own: np.ndarray) -> dict[int, int]:
+    """Counts over the differences that end at an ``own`` reading; those of disjoint parts of a series add up.
+
+    Keys that 2 * (ORDER + 1) divides are bins of absolute differences; key 2k - 1 is the number of pairs of differences
+    ``k`` apart (k = 1..ORDER) of which neither is 0, key 2k how many more of them agree in sign than don't.
+    """
+    d = np.diff(y)
+    at = np.flatnonzero(own[1:])
+    out: dict[int, int] = {}
+    if not len(at):
+        return out
+    size = np.abs(d[at])
+    code = np.full(len(at), ZERO, np.int64)
+    some = size > TINY
+    code[some] = np.floor(np.log(size[some]) / BIN).astype(np.int64)
+    bins, n = np.unique(code, return_counts=True)
+    out.update(zip((bins * 2 * (ORDER + 1)).tolist(), n.tolist(), strict=True))
+    sign = np.sign(np.where(np.abs(d) > TINY, d, 0.0))
+    for k in range(1, ORDER + 1):
+        pair = sign[at[at >= k]] * sign[at[at >= k] - k]
+        out[2 * k - 1], out[2 * k] = int(np.count_nonzero(pair)), int(pair.sum())
+    return out
+
+
+def model(counts: dict[int, int]) -> tuple[float, np.ndarray]:
+    """(noise, weights): the reading-to-reading noise and the forecast's weights, nearest reading first, from ``statistics``.
+
+    The noise is the scaled median of absolute differences; where more than half of them are 0, a higher quantile's;
+    0 if nine tenths are. The autocorrelations of the differences come from how often they agree in sign.
+    """
+    stride = 2 * (ORDER + 1)
+    bins = sorted((k // stride, n) for k, n in counts.items() if k % stride == 0)
+    upto = np.cumsum([n for _, n in bins]) if bins else np.zeros(0)
+    noise = 0.0
+    for share, score in SHARES if bins else ():
+        b = bins[int(np.searchsorted(upto, share * upto[-1]))][0]
+        if b != ZERO:
+            noise = float(np.exp((b + 0.5) * BIN)) / score / np.sqrt(2)
+            break
+    rho = np.ones(ORDER + 1)
+    for k in range(1, ORDER + 1):
+        agree = (counts.get(2 * k, 0) - PRIOR * (k == 1) / 3) / (counts.get(2 * k - 1, 0) + PRIOR)
+        rho[k] = np.sin(np.pi / 2 * agree)
+    a, err = np.zeros(0), 1.0
+    for k in range(1, ORDER + 1):  # Durbin-Levinson; plain noise about a level has the partial correlations -1 / (k + 1), none are less
+        part = float(np.clip((rho[k] - a @ rho[k - 1 : 0 : -1]) / err, -1 / (k + 1), 0.9))
+        a = np.r_[a - part * a[::-1], part]
+        err *= 1 - part * part
+    return noise, np.r_[1 + a[0], np.diff(a), -a[-1]]
+
+
+def _forecasts(c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each gap 0..n between the readings: the forecast from those before and from those after; ends go on at their median."""
+    p = len(w)
+    around = 2 * p + 1
+    padded = np.r_[np.full(p, np.median(c[:around])), c, np.full(p, np.median(c[-around:]))]
+    before = np.convolve(padded, np.r_[0.0, w])[p : p + len(c) + 1]  # before[j] = sum w_k c[j - k]
+    after = np.convolve(padded[::-1], np.r_[0.0, w])[p : p + len(c) + 1][::-1]
+    return before, after
+
+
+def _tests(c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of an additive outlier and of a level shift at each reading, by the autoregression's residuals, and both in residual units."""
+    p, n = len(w), len(c)
+    around = 2 * p + 1
+    padded = np.r_[np.full(p, np.median(c[:around])), c, np.full(p, np.median(c[-around:]))]
+    e = padded[p:] - np.convolve(padded, np.r_[0.0, w])[p : n + 2 * p]
+    out = []
+    for shape in (np.r_[1.0, -w], np.r_[1.0, 1.0 - np.cumsum(w)[:-1], 0.0]):
+        power = float(shape @ shape)
+        size = np.correlate(e, shape, "valid") / power
+        out += [size, size * np.sqrt(power)]
+    return out[0], out[2], out[1], out[3]
+
+
+def spikes(y: np.ndarray, noise: float, weights: np.ndarray, limit: float = 6.0, lasting: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Additive outliers of a series, and each one's departure in units of the noise.
+
+    Rounds of tests on the residuals of the autoregression, until a round changes nothing: at each reading the
+    size of an additive outlier and of a level shift are estimated, and the likelier of the two is accepted where it stands out
+    and nothing near stands out more. An outlier is taken out; a shift is taken off all readings
+    after it. A stretch between two shifts that is shorter than ``lasting`` is taken out where it departs from the readings before and after it.
+    In the end the readings taken out are those that depart from the forecast from the readings before
+    and from that of the readings after, on the same side, by at least ``limit`` times the noise.
     """
     n = len(y)
-    clean = np.ones(n, bool)
-    off = np.zeros(n)
+    clean, off = np.ones(n, bool), np.zeros(n)
     if n < 4:
         return ~clean, off
-    for _ in range(rounds):
-        s = noise(y[clean])
-        if s == 0:
+    least = limit * max(noise, 1e-9 * max(1.0, float(np.median(np.abs(y)))))
+    p = len(weights)
+    shift = np.zeros(n)
+    times = np.zeros(n, np.int8)  # a reading's level is shifted twice at most, so the rounds end
+    while True:
+        at = np.flatnonzero(clean)
+        if len(at) < 4:
             break
-        before, after = _side_medians(y, clean)
-        a, b = y - before, y - after
-        a, b = np.where(np.isnan(a), b, a), np.where(np.isnan(b), a, b)
-        off = np.where(a * b > 0, np.sign(a) * np.minimum(np.abs(a), np.abs(b)), 0.0) / s
-        level = np.where(np.abs(a) < np.abs(b), before, after)
-        u = np.where(clean, y - np.where(np.isnan(level), y, level), 0.0)
-        phi, scale = autoregression(u)
-        r = np.r_[u[0], u[1:] - phi * u[:-1]]
-        omega = (r - phi * np.r_[r[1:], 0.0]) / (1 + phi * phi)
-        stands_out = np.abs(omega) * np.sqrt(1 + phi * phi) >= 3.0 * scale
-        new = clean & (np.abs(off) >= limit) & stands_out
-        if not new.any():
+        z = (y - np.cumsum(shift))[at]
+        outlier, level, outlier_r, level_r = _tests(z, weights)
+        is_shift = np.abs(level_r) > np.abs(outlier_r)
+        stands_out = np.where(is_shift, (np.abs(level) >= NEVER_LESS * least) & (times[at] < 2), np.abs(outlier) >= least)
+        strength = np.where(stands_out, np.maximum(np.abs(outlier_r), np.abs(level_r)), 0.0)
+        near = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(p), strength, np.zeros(p)], 2 * p + 1)
+        hit = np.flatnonzero(stands_out)
+        hit = hit[(near[hit, :p].max(1) < strength[hit]) & (near[hit, p:].max(1) <= strength[hit])]
+        if not len(hit):
             break
-        clean &= ~new
-    return ~clean | _short_levels(y, clean, limit, lasting), off
-
-
-def _short_levels(y: np.ndarray, clean: np.ndarray, limit: float, lasting: int) -> np.ndarray:
-    """Stretches between level shifts that are too short to be a lasting level."""
-    found = np.zeros(len(y), bool)
+        clean[at[hit[~is_shift[hit]]]] = False
+        new = at[hit[is_shift[hit]]]
+        shift[new] += level[hit[is_shift[hit]]]
+        times[new] += 1
+        _short_levels(y, clean, shift, weights, least, lasting)
+    taken = np.flatnonzero(~clean)
     at = np.flatnonzero(clean)
-    c = y[at]
-    s = noise(c) if len(c) > 3 else 0.0
-    if s == 0 or len(c) < 2 * NEAR:
-        return found
-    mid = np.median(np.lib.stride_tricks.sliding_window_view(c, 5), axis=1)
-    jump = np.zeros(len(c))
-    jump[5 : len(c) - 4] = np.abs(mid[5:] - mid[:-5])  # between the five before and the five from here on
-    shifts: list[int] = []
-    for i in np.flatnonzero(jump >= limit * s):
-        if shifts and i - shifts[-1] <= 5:
-            if jump[i] > jump[shifts[-1]]:
-                shifts[-1] = int(i)
+    if not len(taken) or not len(at):
+        return np.zeros(n, bool), off
+    before, after = _forecasts(y[at], weights)
+    gap = np.searchsorted(at, taken)
+    a, b = y[taken] - before[gap], y[taken] - after[gap]
+    first, last = gap == 0, gap == len(at)
+    a, b = np.where(first, b, a), np.where(last, a, b)
+    off[taken] = np.where(a * b > 0, np.sign(a) * np.minimum(np.abs(a), np.abs(b)), 0.0) / (least / limit)
+    return np.abs(off) >= limit, off
+
+
+def _short_levels(y: np.ndarray, clean: np.ndarray, shift: np.ndarray, weights: np.ndarray, least: float, lasting: int) -> None:
+    """Take stretches between two shifts out of ``clean`` that are too short to be a level, shortest first, and their shifts out of ``shift``."""
+    while True:
+        at = np.flatnonzero(clean)
+        edge = np.searchsorted(at, np.flatnonzero(shift))
+        where = np.flatnonzero(shift)
+        pairs = sorted((edge[j] - edge[i], i, j) for i in range(len(edge)) for j in range(i + 1, min(i + 5, len(edge))) if 0 < edge[j] - edge[i] < lasting)
+        if not pairs:
+            return
+        c = y[at]
+        before, after = _forecasts(c, weights)
+        for _, i, j in pairs:
+            own = slice(edge[i], edge[j])
+            a, b = c[own] - before[edge[i]], c[own] - after[edge[j]]
+            bad = (a * b > 0) & (np.minimum(np.abs(a), np.abs(b)) >= least)
+            if 2 * np.count_nonzero(bad) > len(bad) and 0 < edge[i] and edge[j] < len(c):
+                clean[at[own][bad]] = False
+                shift[where[i : j + 1]] = 0.0
+                break
         else:
-            shifts.append(int(i))
-    edges = [0, *shifts, len(c)]
-    for lo, hi, end, start in zip(edges[1:-2], edges[2:-1], edges[3:], edges[:-3], strict=True):
-        if hi - lo >= lasting:
-            continue
-        prev, nxt = np.median(c[max(start, lo - NEAR) : lo]), np.median(c[hi : min(end, hi + NEAR)])
-        a, b = c[lo:hi] - prev, c[lo:hi] - nxt
-        if np.median(a) * np.median(b) > 0:
-            found[at[lo:hi]] = (a * b > 0) & (np.minimum(np.abs(a), np.abs(b)) >= limit * s)
-    return found
+            return

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell.kernels import outliers
 from driftwell.operators import eager, grid, late, shred
 from driftwell.operators.sequence import in_chunks, with_positions
 from driftwell.operators.spikes import faulty_residuals, spikes
@@ -83,6 +84,60 @@ def test_spikes_do_not_depend_on_chunks(spark, limits):
     assert set(whole) == set(cut) and set(at) - set(range(700, 715)) <= set(whole)
 
 
+def test_chunks_share_the_noise_of_their_source(spark, limits):
+    rng = np.random.default_rng(4)
+    v = np.r_[rng.normal(0, 0.1, 600), rng.normal(0, 1.0, 600)] + 20
+    df = spark.createDataFrame(series("s/temp/1", [[float(x)] for x in v]), READING)
+    sets = [{i for i, r in found(spikes(df, limits, chunk=c)).items() if r["spike"]} for c in (5000, 400, 150)]
+    assert sets[0] == sets[1] == sets[2] and min(sets[0]) >= 600
+
+
+def test_statistics_of_parts_add_up_to_those_of_the_whole():
+    y = np.cumsum(np.random.default_rng(6).normal(0, 1, 500).round(1))
+    whole = outliers.statistics(y, np.ones(500, bool))
+    parts = defaultdict(int)
+    for lo in range(0, 500, 70):
+        own = np.zeros(500, bool)
+        own[lo : lo + 70] = True
+        near = slice(max(0, lo - 20), lo + 90)
+        for k, n in outliers.statistics(y[near], own[near]).items():
+            parts[k] += n
+    assert {k: n for k, n in parts.items() if n} == {k: n for k, n in whole.items() if n}
+
+
+def judged(y):
+    flags, _ = outliers.spikes(y, *outliers.model(outliers.statistics(y, np.ones(len(y), bool))))
+    return set(np.flatnonzero(flags).tolist())
+
+
+def test_the_autoregression_decides():
+    rng = np.random.default_rng(8)
+    walk, noise = np.cumsum(rng.normal(0, 1, 400)), rng.normal(0, 1, 400)
+    weights = [outliers.model(outliers.statistics(x, np.ones(400, bool)))[1] for x in (walk, noise)]
+    assert weights[0][0] > 0.8 and max(weights[1]) < 0.4 and all(math.isclose(w.sum(), 1.0) for w in weights)
+    steps = noise.copy()
+    steps[100:] += 12
+    steps[200:203] += 12
+    steps[300:312] -= 12
+    assert judged(steps) == {200, 201, 202, *range(300, 312)}
+    # Where a walk is judged closely, the verdicts depend on the model.
+    close = [set(np.flatnonzero(outliers.spikes(walk, 1.0, w, limit=3.0)[0]).tolist()) for w in (weights[0], np.full(6, 1 / 6))]
+    assert close[0] != close[1]
+
+
+def test_constant_and_rounded_series():
+    flat = np.zeros(300)
+    flat[10::30] = 50.0
+    assert judged(flat) == set(range(10, 300, 30))
+    rounded = np.random.default_rng(9).normal(0, 0.04, 300).round(1)
+    rounded[5] = 3.0
+    assert judged(rounded) == {5}
+    masked = np.random.default_rng(10).normal(0, 1, 600)
+    at = set(range(50, 550, 8))
+    masked[sorted(at)] += np.linspace(20, 400, len(at))
+    assert at <= judged(masked)
+
+
 def test_spikes_awkward_rows(spark, limits):
     inf = float("inf")
     rows = [(1, None, START, [1.0]), (2, "s/temp/1", None, [1.0]), (3, "s/temp/1", START, None), (4, "s/temp/1", START, []), (5, "s/temp/1", START, [None]), (6, "s/temp/1", START, [inf]), (7, "s/other/1", START, [1e9]), (8, "nokind", START, [1e9]), (9, "s/temp/2", START, [99.0]), (10, "s/temp/2", START, [99.0])]
