@@ -45,8 +45,8 @@ def join_aggregate(left: Side, right: Side, how: str = "inner") -> DataFrame:
     With n, m rows of a key: ``pairs`` = n*m; a left sum counts m times and a right sum n times; a
     sum of products over all pairs is the product of the sums; extremes carry over. ``how`` is
     ``inner`` (null keys match nothing) or ``full``, which keeps keys of one side (pairs 0) and
-    the null key. Columns: ``key, left_n, right_n, pairs``, per value ``<name>_pair_n``, ``<name>_pair_sum``,
-    ``<name>_min``, ``<name>_max``, and ``<l>_x_<r>_sum`` per pair of values.
+    the null key. Columns: ``key, left_n, right_n, pairs``, per value its own side's ``<name>_n``, ``<name>_sum``, ``<name>_sq``
+    (squares), ``<name>_min``, ``<name>_max``, over the pairs ``<name>_pair_n``, ``<name>_pair_sum``, and ``<l>_x_<r>_sum`` per pair of values.
     """
     l, r = key_states(left, "l_"), key_states(right, "r_").withColumnRenamed("_key", "_rkey")
     on = F.col("_key") == F.col("_rkey") if how == "inner" else F.col("_key").eqNullSafe(F.col("_rkey"))
@@ -55,20 +55,30 @@ def join_aggregate(left: Side, right: Side, how: str = "inner") -> DataFrame:
     out = [F.coalesce("_key", "_rkey").alias("key"), ln.alias("left_n"), rn.alias("right_n"), (ln * rn).alias("pairs")]
     for names, p, other in ((left.values, "l_", rn), (right.values, "r_", ln)):
         for n in names:
-            out += [(F.coalesce(f"{p}{n}_n", F.lit(0)) * other).alias(f"{n}_pair_n"), (F.col(f"{p}{n}_sum") * other).alias(f"{n}_pair_sum"), F.col(f"{p}{n}_min").alias(f"{n}_min"), F.col(f"{p}{n}_max").alias(f"{n}_max")]
+            count = F.coalesce(f"{p}{n}_n", F.lit(0))
+            out += [count.alias(f"{n}_n"), *(F.col(f"{p}{n}_{x}").alias(f"{n}_{x}") for x in ("sum", "sq", "min", "max"))]
+            out += [(count * other).alias(f"{n}_pair_n"), (F.col(f"{p}{n}_sum") * other).alias(f"{n}_pair_sum")]
     out += [(F.col(f"l_{a}_sum") * F.col(f"r_{b}_sum")).alias(f"{a}_x_{b}_sum") for a in left.values for b in right.values]
     return j.select(*out)
 
 
-def hot_keys(sides: dict[str, Side], share: float = 0.02) -> DataFrame:
+def roll_up(results: DataFrame, by: Column, values: list[str]) -> DataFrame:
+    """Per-key results rolled up to coarser groups, algebraically: ``(grp, left_n, right_n, pairs, <name>_n, <name>_sum, <name>_sq, <name>_min, <name>_max)``."""
+    aggs = [F.sum(c).alias(c) for c in ("left_n", "right_n", "pairs")]
+    for n in values:
+        aggs += [F.sum(f"{n}_{x}").alias(f"{n}_{x}") for x in ("n", "sum", "sq")] + [F.min(f"{n}_min").alias(f"{n}_min"), F.max(f"{n}_max").alias(f"{n}_max")]
+    return results.groupBy(by.alias("grp")).agg(*aggs)
+
+
+def hot_keys(results: DataFrame, names: tuple[str, str], share: float = 0.02) -> DataFrame:
     """``(src, state_key, n, share)``: the non-null keys that hold at least ``share`` of a side's rows.
 
-    The two sides' states are joined by key (``join_aggregate`` in full); the totals, which include
-    rows without key, are rolled up from the same states. An empty side has no hot keys.
+    ``results`` are those of ``join_aggregate`` in full, of the sides called ``names``; they are written, and the totals, which
+    include rows without key, are rolled up from them. An empty side has no hot keys.
     """
-    (a, left), (b, right) = sides.items()
-    states = stage(join_aggregate(left, right, "full").select("key", F.col("left_n").alias("_l"), F.col("right_n").alias("_r")))
-    totals = states.agg(F.sum("_l"), F.sum("_r")).first()
-    per_side = F.explode(F.array(*(F.struct(F.lit(src).alias("src"), F.col(c).alias("n"), F.lit(int(total or 0)).alias("total")) for src, c, total in zip((a, b), ("_l", "_r"), totals, strict=True))))
-    rows = states.where(F.col("key").isNotNull()).select("key", per_side.alias("_x")).select("_x.src", F.col("key").alias("state_key"), "_x.n", (F.col("_x.n") / F.col("_x.total")).alias("share"))
+    results = stage(results)
+    totals = roll_up(results, F.lit(0), []).first()
+    counts = (("left_n", totals.left_n), ("right_n", totals.right_n)) if totals else (("left_n", 0), ("right_n", 0))
+    per_side = F.explode(F.array(*(F.struct(F.lit(src).alias("src"), F.col(c).alias("n"), F.lit(int(total or 0)).alias("total")) for src, (c, total) in zip(names, counts, strict=True))))
+    rows = results.where(F.col("key").isNotNull()).select("key", per_side.alias("_x")).select("_x.src", F.col("key").alias("state_key"), "_x.n", (F.col("_x.n") / F.col("_x.total")).alias("share"))
     return rows.where((F.col("n") > 0) & (F.col("share") >= share))

@@ -47,14 +47,13 @@ WHERE mixture_model.distributions[i] IS NOT NULL
 """
 
 
-def _sides(spark: SparkSession, d: str) -> dict[str, eager.Side]:
+def _sides(spark: SparkSession, d: str) -> tuple[eager.Side, eager.Side]:
     ki, rl = table(spark, d, "kalman_input"), table(spark, d, "rls_input")
-    return {"kalman_input": eager.Side(ki, "state_key", {"reading": F.try_element_at("measurement", F.lit(1))}), "rls_input": eager.Side(rl, "state_key", {"label": F.col("label")})}
+    return eager.Side(ki, "state_key", {"reading": F.try_element_at("measurement", F.lit(1)), "gust": F.try_element_at("measurement", F.lit(2))}), eager.Side(rl, "state_key", {"label": F.col("label")})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    sides = {n: eager.Side(s.rows, s.key, {}) for n, s in _sides(spark, d).items()}
-    return eager.hot_keys(sides).select("src", "state_key")
+    return eager.hot_keys(eager.join_aggregate(*_sides(spark, d), "full"), ("kalman_input", "rls_input")).select("src", "state_key")
 
 
 P3_FOUND = """
@@ -65,9 +64,49 @@ WHERE state_key IS NOT NULL AND n >= 0.02 * total
 """
 
 
+def _side_stats(name: str) -> list:
+    n = F.col(f"{name}_n")
+    return [n, F.round(F.col(f"{name}_sum") / n, 8).alias(f"mean_{name}"), F.round(F.sqrt(F.col(f"{name}_sq") / n), 6).alias(f"rms_{name}"), f"{name}_min", f"{name}_max"]
+
+
+def p3_key_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results of all keys of both tables, the null key included."""
+    j = eager.join_aggregate(*_sides(spark, d), "full")
+    return j.select(F.col("key").alias("state_key"), "left_n", "right_n", "pairs", *_side_stats("reading"), *_side_stats("gust"), *_side_stats("label"))
+
+
+def p3_kind_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results of all keys, rolled up by kind."""
+    r = eager.roll_up(eager.join_aggregate(*_sides(spark, d), "full"), F.try_element_at(F.split("key", "/"), F.lit(2)), ["reading", "label"])
+    return r.select(F.col("grp").alias("kind"), "left_n", "right_n", "pairs", *_side_stats("reading"), *_side_stats("label"))
+
+
+def _stats_sql(name: str, v: str, by: str, table_: str) -> str:
+    x = f"CASE WHEN isfinite({v}) THEN {v} END"
+    return f"SELECT {by}, count(*) AS rows_n, count({x}) AS {name}_n, round(avg({x}), 8) AS mean_{name}, round(sqrt(avg({x} * {x})), 6) AS rms_{name}, min({x}) AS {name}_min, max({x}) AS {name}_max FROM {table_} GROUP BY 1"
+
+
+def _columns_sql(*names: str) -> str:
+    return ", ".join(f"coalesce({n}_n, 0) AS {n}_n, mean_{n}, rms_{n}, {n}_min, {n}_max" for n in names)
+
+
+P3_KEY_RESULTS = f"""
+WITH l AS ({_stats_sql("reading", "measurement[1]", "state_key", "kalman_input")}), g AS ({_stats_sql("gust", "measurement[2]", "state_key", "kalman_input")}), r AS ({_stats_sql("label", "label", "state_key", "rls_input")})
+SELECT coalesce(l.state_key, r.state_key) AS state_key, coalesce(l.rows_n, 0) AS left_n, coalesce(r.rows_n, 0) AS right_n, coalesce(l.rows_n, 0) * coalesce(r.rows_n, 0) AS pairs, {_columns_sql("reading", "gust", "label")}
+FROM l JOIN g ON l.state_key IS NOT DISTINCT FROM g.state_key FULL JOIN r ON l.state_key IS NOT DISTINCT FROM r.state_key
+"""
+P3_KIND_RESULTS = f"""
+WITH l AS ({_stats_sql("reading", "measurement[1]", "nullif(split_part(state_key, '/', 2), '') AS kind", "kalman_input")}), r AS ({_stats_sql("label", "label", "nullif(split_part(state_key, '/', 2), '') AS kind", "rls_input")}),
+  p AS (SELECT nullif(split_part(k, '/', 2), '') AS kind, sum(n * m) AS pairs FROM (SELECT state_key AS k, count(*) AS n FROM kalman_input GROUP BY 1) a JOIN (SELECT state_key AS k2, count(*) AS m FROM rls_input GROUP BY 1) b
+        ON k IS NOT DISTINCT FROM k2 GROUP BY 1),
+  j AS (SELECT coalesce(l.kind, r.kind) AS kind, l.rows_n AS ln, r.rows_n AS rn, l.* EXCLUDE (kind, rows_n), r.* EXCLUDE (kind, rows_n) FROM l FULL JOIN r ON l.kind IS NOT DISTINCT FROM r.kind)
+SELECT j.kind, coalesce(ln, 0) AS left_n, coalesce(rn, 0) AS right_n, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, {_columns_sql("reading", "label")}
+FROM j LEFT JOIN p ON p.kind IS NOT DISTINCT FROM j.kind
+"""
+
+
 def p3_key_join(spark: SparkSession, d: str) -> DataFrame:
-    s = _sides(spark, d)
-    j = eager.join_aggregate(s["kalman_input"], s["rls_input"])
+    j = eager.join_aggregate(*_sides(spark, d))
     return j.select(F.col("key").alias("state_key"), "left_n", "right_n", "pairs", "reading_pair_n", "label_pair_n", F.round(F.col("reading_pair_sum") / F.col("reading_pair_n"), 8).alias("mean_reading"), F.round(F.col("label_pair_sum") / F.col("label_pair_n"), 8).alias("mean_label"), "reading_min", "reading_max", "label_min", "label_max", F.round(F.col("reading_x_label_sum") / F.col("pairs"), 6).alias("mean_product"))
 
 
@@ -90,38 +129,45 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).where("status <> 'observed'").select("state_key", "slot_epoch")
+    return _grid(spark, d).where("status <> 'observed' AND within_day").select("state_key", "slot_epoch")
 
 
 _SLOTS = """
 WITH r AS (SELECT state_key, grid_seconds AS g, (epoch_us(event_time) // (grid_seconds * 1000000::BIGINT)) * grid_seconds AS s, measurement[1] AS v
            FROM kalman_input JOIN sensor_kinds ON kind = split_part(state_key, '/', 2) WHERE event_time IS NOT NULL AND measurement IS NOT NULL),
      f AS (SELECT state_key, g, s, s // 86400 AS d, count(*) AS n, avg(CASE WHEN NOT isnan(v) THEN v END) AS v FROM r GROUP BY 1, 2, 3),
-     b AS (SELECT state_key, g, d, min(s) AS lo, max(s) AS hi FROM f GROUP BY 1, 2, 3),
-     a AS (SELECT state_key, unnest(range(lo, hi + 1, g)) AS s FROM b)
+     b AS (SELECT state_key, d, min(s) AS lo, max(s) AS hi FROM f GROUP BY 1, 2),
+     c AS (SELECT state_key, g, min(s) AS lo, max(s) AS hi FROM f GROUP BY 1, 2),
+     a AS (SELECT state_key, g, unnest(range(lo, hi + 1, g)) AS s FROM c)
 """
-P4_FOUND = _SLOTS + "SELECT state_key, s AS slot_epoch FROM a ANTI JOIN f USING (state_key, s)"
+P4_FOUND = _SLOTS + "SELECT state_key, s AS slot_epoch FROM a ANTI JOIN f USING (state_key, s) JOIN b ON b.state_key = a.state_key AND b.d = a.s // 86400 WHERE a.s BETWEEN b.lo AND b.hi"
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).select("state_key", "slot_epoch", "n", "status", F.round(F.try_element_at("value", F.lit(1)), 8).alias("value_0"))
+    return _grid(spark, d).select("state_key", "slot_epoch", "n", "status", "within_day", F.round(F.try_element_at("value", F.lit(1)), 8).alias("value_0"))
 
 
 P4_GRID = (
     _SLOTS
     + """, x AS (SELECT state_key, s, n, v, last_value(CASE WHEN n IS NOT NULL THEN s END IGNORE NULLS) OVER w AS ps FROM a LEFT JOIN f USING (state_key, s) WINDOW w AS (PARTITION BY state_key ORDER BY s))
 SELECT x.state_key, x.s AS slot_epoch, coalesce(x.n, 0) AS n, CASE WHEN x.n IS NOT NULL THEN 'observed' WHEN x.s - ps <= 3600 THEN 'carried' ELSE 'missing' END AS status,
-  CASE WHEN x.s - ps <= 3600 THEN round(f.v, 8) END AS value_0 FROM x LEFT JOIN f ON f.state_key = x.state_key AND f.s = x.ps
+  coalesce(x.s BETWEEN b.lo AND b.hi, FALSE) AS within_day, CASE WHEN x.s - ps <= 3600 THEN round(f.v, 8) END AS value_0
+FROM x LEFT JOIN f ON f.state_key = x.state_key AND f.s = x.ps LEFT JOIN b ON b.state_key = x.state_key AND b.d = x.s // 86400
 """
 )
 
 
-def _late(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return late.with_frontier(table(spark, d, name))
+_STREAMS = (("kalman_input", "measurement"), ("gaussian_mixture_input", "sample"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_late(spark, d, n).where("is_late").select(F.lit(n).alias("src"), F.col("record_id").alias("rec_id")) for n in ("kalman_input", "gaussian_mixture_input")]
+    parts = [late.left_out(table(spark, d, n)).select(F.lit(n).alias("src"), F.col("record_id").alias("rec_id")) for n, _ in _STREAMS]
+    return parts[0].unionByName(parts[1])
+
+
+def _late_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of both tables' rows with their place behind the frontier, keyed by table, state key and entry."""
+    parts = [late.with_frontier(table(spark, d, n).select("record_id", "state_key", "event_time", "arrival_time", F.col(c).alias("entries"))).select(F.lit(n).alias("src"), "state_key", "_event", "_at", "is_late", "out_of_order", F.posexplode("entries").alias("entry", "x")) for n, c in _STREAMS]
     return parts[0].unionByName(parts[1])
 
 
@@ -133,30 +179,35 @@ P5_FOUND = " UNION ALL ".join(f"SELECT '{n}' AS src, record_id AS rec_id FROM ({
 
 
 def p5_period_stats(spark: SparkSession, d: str) -> DataFrame:
-    state = late.multiset(_late(spark, d, "kalman_input"), F.try_element_at("measurement", F.lit(1)))
+    state = late.multiset(_late_entries(spark, d), F.col("x"), key=F.struct("src", "state_key", "entry"))
     s = late.period_stats(state)
-    return s.select(F.col("key").alias("state_key"), F.col("period").alias("period_epoch"), "n", "n_distinct", "min_value", "max_value", F.round("median_value", 6).alias("median_value"), F.round(F.col("sum_value") / F.col("n"), 8).alias("mean_value"), "n_corrections")
+    return s.select("key.src", "key.state_key", "key.entry", F.col("period").alias("period_epoch"), "n", "n_distinct", "min_value", "max_value", F.round("median_value", 6).alias("median_value"), F.round(F.col("sum_value") / F.col("n"), 8).alias("mean_value"), "n_corrections")
+
+
+def _entries_sql() -> str:
+    parts = (f"SELECT '{n}' AS src, state_key, event_time, arrival_time, top, unnest({c}) AS v, CAST(generate_subscripts({c}, 1) - 1 AS INT) AS entry FROM ({_frontier_sql(n)}) WHERE top IS NULL OR event_time >= top - INTERVAL 2 HOURS" for n, c in _STREAMS)
+    return f"SELECT *, (epoch_us(event_time) // 3600000000) * 3600 AS p FROM ({' UNION ALL '.join(parts)}) WHERE v IS NOT NULL AND NOT isnan(v)"
 
 
 P5_PERIOD_STATS = f"""
-SELECT state_key, (epoch_us(event_time) // 3600000000) * 3600 AS period_epoch, count(*) AS n, count(DISTINCT v) AS n_distinct, min(v) AS min_value, max(v) AS max_value,
+SELECT src, state_key, entry, p AS period_epoch, count(*) AS n, count(DISTINCT v) AS n_distinct, min(v) AS min_value, max(v) AS max_value,
   round(median(v), 6) AS median_value, round(avg(v), 8) AS mean_value, count(*) FILTER (event_time < top) AS n_corrections
-FROM (SELECT *, measurement[1] AS v FROM ({_frontier_sql("kalman_input")})) WHERE (top IS NULL OR event_time >= top - INTERVAL 2 HOURS) AND v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2
+FROM ({_entries_sql()}) GROUP BY 1, 2, 3, 4
 """
 
 
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:
-    v = late.period_versions(_late(spark, d, "gaussian_mixture_input"), F.try_element_at("sample", F.lit(1)))
-    return v.select(F.col("key").alias("state_key"), F.col("period").alias("period_epoch"), "as_of_batch", "n", "n_distinct", F.round("median_value", 6).alias("median_value"))
+    v = late.period_versions(_late_entries(spark, d), F.col("x"), key=F.struct("src", "state_key", "entry"))
+    return v.select("key.src", "key.state_key", "key.entry", F.col("period").alias("period_epoch"), "as_of_batch", "n", "n_distinct", "min_value", "max_value", F.round("median_value", 6).alias("median_value"), "n_corrections")
 
 
 P5_VERSIONS = f"""
-WITH x AS (SELECT state_key, (epoch_us(event_time) // 3600000000) * 3600 AS p, epoch_us(arrival_time) // 86400000000 AS b, sample[1] AS v
-           FROM ({_frontier_sql("gaussian_mixture_input")}) WHERE (top IS NULL OR event_time >= top - INTERVAL 2 HOURS) AND sample[1] IS NOT NULL AND NOT isnan(sample[1])),
-     b AS (SELECT DISTINCT state_key, p, b AS as_of FROM x)
-SELECT state_key, p AS period_epoch, as_of AS as_of_batch, count(*) AS n, count(DISTINCT v) AS n_distinct, round(median(v), 6) AS median_value
-FROM x JOIN b USING (state_key, p) WHERE x.b <= as_of GROUP BY 1, 2, 3
+WITH x AS (SELECT *, epoch_us(arrival_time) // 86400000000 AS b FROM ({_entries_sql()})),
+     b AS (SELECT DISTINCT src, state_key, entry, p, b AS as_of FROM x)
+SELECT src, state_key, entry, p AS period_epoch, as_of AS as_of_batch, count(*) AS n, count(DISTINCT v) AS n_distinct, min(v) AS min_value, max(v) AS max_value,
+  round(median(v), 6) AS median_value, count(*) FILTER (event_time < top) AS n_corrections
+FROM x JOIN b USING (src, state_key, entry, p) WHERE x.b <= as_of GROUP BY 1, 2, 3, 4, 5
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_components, p3_found, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
-SQL = {"p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_components, p3_found, p3_key_results, p3_kind_results, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
+SQL = {"p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_results": P3_KEY_RESULTS, "p3_kind_results": P3_KIND_RESULTS, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}

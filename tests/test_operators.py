@@ -243,9 +243,20 @@ def test_eager_aggregation_equals_the_join(spark):
 def test_hot_keys_count_null_keys_in_the_total(spark):
     l = spark.createDataFrame([("h",)] * 2 + [(None,)] * 97 + [("c",)], "k string")
     r = spark.createDataFrame([], "k string")
-    got = eager.hot_keys({"l": eager.Side(l, "k", {}), "r": eager.Side(r, "k", {})}).collect()
+    full = lambda a, b: eager.join_aggregate(eager.Side(a, "k", {}), eager.Side(b, "k", {}), "full")
+    got = eager.hot_keys(full(l, r), ("l", "r")).collect()
     assert [(x["src"], x["state_key"], x["n"]) for x in got] == [("l", "h", 2)]
-    assert eager.hot_keys({"l": eager.Side(r, "k", {}), "r": eager.Side(r, "k", {})}).count() == 0
+    assert eager.hot_keys(full(r, r), ("l", "r")).count() == 0
+
+
+def test_own_statistics_and_roll_up(spark):
+    l = spark.createDataFrame([("a/x", 1.0), ("a/x", 3.0), ("b/x", None), ("c/y", -2.0), (None, 5.0)], "k string, x double")
+    r = spark.createDataFrame([("a/x", 2.0), ("d/y", 7.0)], "k string, y double")
+    full = eager.join_aggregate(eager.Side(l, "k", {"x": F.col("x")}), eager.Side(r, "k", {"y": F.col("y")}), "full")
+    got = {x["key"]: x for x in full.collect()}
+    assert got["a/x"]["x_sq"] == 10.0 and got["a/x"]["x_n"] == 2 and got["b/x"]["x_n"] == 0 and got["d/y"]["y_sum"] == 7.0 and got["c/y"]["y_n"] == 0
+    rolled = {x["grp"]: x for x in eager.roll_up(full, F.try_element_at(F.split("key", "/"), F.lit(2)), ["x", "y"]).collect()}
+    assert set(rolled) == {"x", "y", None} and (rolled["x"]["left_n"], rolled["x"]["pairs"], rolled["x"]["x_sum"], rolled["x"]["x_max"]) == (3, 2, 4.0, 3.0) and rolled["y"]["y_sum"] == 7.0
 
 
 # -- grids -------------------------------------------------------------------------------------------
@@ -257,10 +268,17 @@ def test_regular_grid(spark):
     rows = [("s/temp/1", at(1), [1.0]), ("s/temp/1", at(2), [3.0]), ("s/temp/1", at(41), [5.0, 2.0]), ("s/temp/1", at(180), [None]), ("s/temp/1", at(1440 + 5), [7.0]), ("s/temp/1", at(1440 + 25), [8.0]), ("s/temp/1", at(50), None), ("s/temp/1", None, [1.0]), (None, at(1), [1.0]), ("s/bad/1", at(1), [1.0]), ("nokind", at(1), [1.0])]
     df = spark.createDataFrame(rows, "state_key string, event_time timestamp, measurement array<double>")
     base = int(START.timestamp())
-    got = {(r["slot_epoch"] - base) // 600: (r["n"], r["value"], r["status"]) for r in grid.regular_grid(clashing(df), steps).collect()}
-    assert set(got) == {*range(19), 144, 145, 146}
+    made = grid.regular_grid(clashing(df), steps).collect()
+    got = {(r["slot_epoch"] - base) // 600: (r["n"], r["value"], r["status"]) for r in made}
+    assert {(r["slot_epoch"] - base) // 600 for r in made if r["within_day"]} == {*range(19), 144, 145, 146}
+    assert set(got) == {*range(19), 144, 145, 146} | {*range(19, 144)}
     assert got[0] == (2, [2.0], "observed") and got[1] == (0, [2.0], "carried") and got[4] == (1, [5.0, 2.0], "observed")
     assert got[10][2] == "carried" and got[11] == (0, None, "missing") and got[18] == (1, [None], "observed") and got[145] == (0, [7.0], "carried")
+    # Empty days between two with readings, also where the step doesn't divide the day.
+    odd = spark.createDataFrame([("temp", 7 * 3600)], "kind string, grid_seconds int")
+    ends = spark.createDataFrame([("s/temp/1", at(1), [1.0]), ("s/temp/1", at(5 * 1440), [2.0])], df.schema)
+    slots = sorted(r["slot_epoch"] for r in grid.regular_grid(ends, odd).collect())
+    assert slots == list(range(int(at(1).timestamp()) // 25200 * 25200, int(at(5 * 1440).timestamp()) + 1, 25200))
     assert grid.regular_grid(df.limit(0), steps).count() == 0 and grid.regular_grid(df, steps.limit(0)).count() == 0
 
 
@@ -302,7 +320,18 @@ def test_frontier_statistics_and_versions(spark):
     assert sum(r["n_corrections"] for r in stats.values()) == sum(x[3] for x in kept)
     halves = [late.multiset(marked.where(F.col("record_id") % 2 == i), F.col("v")) for i in (0, 1)]
     assert sorted(map(str, late.combine(*halves).collect())) == sorted(map(str, state.collect()))
+    assert {r["record_id"] for r in late.left_out(clashing(df), bucket_us=7 * 60_000_000).collect()} == {i for i, x in want.items() if x}
     versions = late.period_versions(marked, F.col("v"))
+    other = late.period_versions(late.with_frontier(df, bucket_us=7 * 60_000_000), F.col("v"))
+    assert sorted(map(str, versions.collect())) == sorted(map(str, other.collect()))
+    day = lambda t: -46296297 if t is None else int(t.timestamp()) // 86400
+    batches = defaultdict(list)
+    for r in rows:
+        if r[0] in want and not want[r[0]] and r[4] is not None and not math.isnan(r[4]):
+            batches[r[1], int(r[2].timestamp()) // 3600 * 3600].append((day(r[3]), r[4]))
+    for r in versions.collect():
+        vs = [v for b, v in batches[r["key"], r["period"]] if b <= r["as_of_batch"]]
+        assert (r["n"], r["n_distinct"], r["min_value"], r["max_value"], r["median_value"]) == (len(vs), len(set(vs)), min(vs), max(vs), float(np.median(vs)))
     last = versions.groupBy("key", "period").agg(F.max_by("n", "as_of_batch").alias("n")).collect()
     assert all(r["n"] == len(groups[r["key"], r["period"]]) for r in last) and versions.count() >= len(groups)
     assert late.period_stats(late.multiset(late.with_frontier(df.limit(0)), F.col("v"))).count() == 0
