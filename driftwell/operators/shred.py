@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass
@@ -109,36 +108,77 @@ def rebuild(leaves: dict[tuple[str, ...], Leaf], ancestor: tuple[str, ...], fiel
     return record, at, columns
 
 
-_MAT = pa.struct([("num_rows", pa.int32()), ("num_cols", pa.int32()), ("vals", pa.list_(pa.float64()))])
-_GAU = pa.struct([("mean", pa.list_(pa.float64())), ("covariance", _MAT)])
-_MIX = pa.struct([("weights", pa.list_(pa.float64())), ("distributions", pa.list_(_GAU))])
-RECORD = pa.struct([("batches", pa.list_(pa.struct([("outputs", pa.list_(pa.struct([("state", _GAU), ("residual", _GAU), ("mixture", _MIX)])))])))])
+LEAVES = ("mean", "num_rows", "num_cols", "covariance", "weight")
 OUT = "src string, rec_id bigint, batch_no int, output_no int, child string, child_no int, mean array<double>, num_rows int, num_cols int, covariance array<double>, weight double"
 _OUT = pa.schema([("src", pa.string()), ("rec_id", pa.int64()), ("batch_no", pa.int32()), ("output_no", pa.int32()), ("child", pa.string()), ("child_no", pa.int32()), ("mean", pa.list_(pa.float64())), ("num_rows", pa.int32()), ("num_cols", pa.int32()), ("covariance", pa.list_(pa.float64())), ("weight", pa.float64())])
 _OUTPUT = ("batches", "[]", "outputs", "[]")
 _FIELDS = {"mean": ("mean", "[]"), "num_rows": ("covariance", "num_rows"), "num_cols": ("covariance", "num_cols"), "covariance": ("covariance", "vals", "[]")}
 
 
-def _flat_tables(src: str, ids: np.ndarray, records: pa.Array) -> Iterator[pa.RecordBatch]:
-    leaves = levels(records)
-    for child, ancestor, fields in (("state", (*_OUTPUT, "state"), _FIELDS), ("residual", (*_OUTPUT, "residual"), _FIELDS), ("component", (*_OUTPUT, "mixture", "distributions", "[]"), _FIELDS), ("weight", (*_OUTPUT, "mixture", "weights", "[]"), {"weight": ()})):
-        record, at, columns = rebuild(leaves, ancestor, fields)
+def _types(leaves: tuple[str, ...]) -> tuple[pa.DataType, pa.DataType | None]:
+    """The types of a Gaussian and a mixture with the wanted leaves only."""
+    mat = [(n, t) for n, w, t in (("num_rows", "num_rows", pa.int32()), ("num_cols", "num_cols", pa.int32()), ("vals", "covariance", pa.list_(pa.float64()))) if w in leaves]
+    gau = pa.struct(([("mean", pa.list_(pa.float64()))] if "mean" in leaves else []) + ([("covariance", pa.struct(mat))] if mat else []))
+    return gau, pa.struct(([("weights", pa.list_(pa.float64()))] if "weight" in leaves else []) + [("distributions", pa.list_(gau))])
+
+
+def record_type(leaves: tuple[str, ...] = LEAVES) -> pa.DataType:
+    gau, mix = _types(leaves)
+    return pa.struct([("batches", pa.list_(pa.struct([("outputs", pa.list_(pa.struct([("state", gau), ("residual", gau), ("mixture", mix)])))])))])
+
+
+RECORD = record_type()
+
+
+def _places(record: np.ndarray, at: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    code = record
+    for a, n in zip(at, sizes, strict=True):
+        code = code * n + a
+    return code
+
+
+def _flat_tables(src: str, ids: np.ndarray, records: pa.Array, wanted: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    found = levels(records)
+    fields = {n: p for n, p in _FIELDS.items() if n in wanted}
+    weights = None
+    if "weight" in wanted:
+        weights = rebuild(found, (*_OUTPUT, "mixture", "weights", "[]"), {"weight": ()})
+    for child, ancestor in (("weight", None), ("state", (*_OUTPUT, "state")), ("residual", (*_OUTPUT, "residual")), ("component", (*_OUTPUT, "mixture", "distributions", "[]"))):
+        if child == "weight" and weights is None:
+            continue
+        record, at, columns = weights if child == "weight" else rebuild(found, ancestor, fields)
         n = len(record)
         if not n:
             continue
-        made = {"src": [src] * n, "rec_id": ids[record], "batch_no": at[0], "output_no": at[1], "child": [child] * n, "child_no": at[2] if len(at) > 2 else np.zeros(n, int)} | columns
-        yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made.get(f.name), pa.Array) and f.name in made else (made[f.name].cast(f.type) if f.name in made else pa.nulls(n, f.type)) for f in _OUT], schema=_OUT)
+        if child == "component" and weights is not None and len(weights[0]):
+            # The weight at the same place, from the same levels.
+            sizes = [1 + max(int(a.max(initial=0)), int(b.max(initial=0))) for a, b in zip(at, weights[1], strict=True)]
+            own, there = _places(record, at, sizes), _places(weights[0], weights[1], sizes)
+            k = np.minimum(np.searchsorted(there, own), len(there) - 1)
+            columns["weight"] = weights[2]["weight"].take(pa.array(k, mask=there[k] != own))
+        made = {"src": pa.array([src] * n), "rec_id": pa.array(ids[record]), "batch_no": pa.array(at[0]), "output_no": pa.array(at[1]), "child": pa.array([child] * n), "child_no": pa.array(at[2] if len(at) > 2 else np.zeros(n, int))} | columns
+        keep = [f for f in _OUT if f.name in wanted or f.name not in LEAVES]
+        yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(n, f.type) for f in keep], names=[f.name for f in keep])
 
 
 def _number(x: object) -> float | None:
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
 
 
+def _no_number(x: str) -> float:
+    raise ValueError(x)
+
+
+def _json(text: str) -> object:
+    """Strict JSON: ``NaN`` and infinities are none."""
+    return json.loads(text, parse_constant=_no_number)
+
+
 def _object(x: object) -> object:
     """What JSON text holds, if ``x`` is the JSON text of an object or array; else ``x``."""
     if isinstance(x, str) and x.lstrip()[:1] in ("{", "["):
         try:
-            return _object(json.loads(x))
+            return _object(_json(x))
         except ValueError:
             return x
     return x
@@ -167,24 +207,30 @@ def _matrix(x: object) -> dict | None:
     return None
 
 
-def _gaussian(x: object) -> dict | None:
+def _gaussian(x: object, wanted: tuple[str, ...]) -> dict | None:
     x = _object(x)
-    return {"mean": _numbers(x.get("mean")), "covariance": _matrix(x.get("covariance"))} if isinstance(x, dict) else None
+    if not isinstance(x, dict):
+        return None
+    mean = {"mean": _numbers(x.get("mean"))} if "mean" in wanted else {}
+    return mean | {"covariance": _matrix(x.get("covariance"))} if len({*wanted} - {"mean", "weight"}) else mean
 
 
-def _output(x: object) -> dict | None:
+def _output(x: object, wanted: tuple[str, ...]) -> dict | None:
     x = _object(x)
     if not isinstance(x, dict):
         return None
     mix = _object(x.get("mixtureModel"))
     parts = _list(mix.get("distributions")) if isinstance(mix, dict) else None
-    return {"state": _gaussian(x.get("state")), "residual": _gaussian(x.get("residual")), "mixture": {"weights": _numbers(mix.get("weights")), "distributions": None if parts is None else [_gaussian(p) for p in parts]} if isinstance(mix, dict) else None}
+    own = None
+    if isinstance(mix, dict):
+        own = {"distributions": None if parts is None else [_gaussian(p, wanted) for p in parts]} | ({"weights": _numbers(mix.get("weights"))} if "weight" in wanted else {})
+    return {"state": _gaussian(x.get("state"), wanted), "residual": _gaussian(x.get("residual"), wanted), "mixture": own}
 
 
-def record_of(payload: str | None) -> dict | None:
+def record_of(payload: str | None, wanted: tuple[str, ...] = LEAVES) -> dict | None:
     """The record of a JSON export in any known layout; null if it is no complete JSON object."""
     try:
-        x = _object(json.loads(payload)) if payload else None
+        x = _object(_json(payload)) if payload else None
     except (ValueError, RecursionError):
         return None
     if not isinstance(x, dict):
@@ -197,57 +243,66 @@ def record_of(payload: str | None) -> dict | None:
     made = []
     for b in map(_object, batches):
         outputs = _list(b.get("outputs")) if isinstance(b, dict) else None
-        made.append(None if not isinstance(b, dict) else {"outputs": None if outputs is None else [_output(o) for o in outputs]})
+        made.append(None if not isinstance(b, dict) else {"outputs": None if outputs is None else [_output(o, wanted) for o in outputs]})
     return {"batches": made}
 
 
-def _run(src: str, read: Callable[[pa.RecordBatch], pa.Array]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _run(src: str, wanted: tuple[str, ...], read: Callable[[pa.RecordBatch], pa.Array]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield from _flat_tables(src, ids, read(batch))
+                yield from _flat_tables(src, ids, read(batch), wanted)
 
     return run
 
 
-def _gau(c: str, there: bool, columns: list[str]) -> Column:
-    kind = "struct<mean:array<double>,covariance:struct<num_rows:int,num_cols:int,vals:array<double>>>"
-    return (F.col(c) if there and c in columns else F.lit(None)).cast(kind)
+def _ddl(kind: pa.DataType) -> str:
+    if pa.types.is_struct(kind):
+        return f"struct<{','.join(f'{f.name}:{_ddl(f.type)}' for f in kind)}>"
+    return f"array<{_ddl(kind.value_type)}>" if pa.types.is_list(kind) else {"double": "double", "int32": "int"}[str(kind)]
+
+
+def _pruned(col: Column, kind: pa.DataType) -> Column:
+    """The wanted leaves of a struct column, as plain field references, so that the scan reads no others."""
+    parts = [(col[f.name].cast(_ddl(f.type)) if not pa.types.is_struct(f.type) else _pruned(col[f.name], f.type)).alias(f.name) for f in kind]
+    return F.when(col.isNotNull(), F.struct(*parts))
 
 
-def nested_objects(df: DataFrame, src: str, rec_id: str, *, state: str | None = None, residual: str | None = None, mixture: str | None = None, payload: str | None = None) -> DataFrame:
+def nested_objects(df: DataFrame, src: str, rec_id: str, *, state: str | None = None, residual: str | None = None, mixture: str | None = None, payload: str | None = None, leaves: tuple[str, ...] = LEAVES) -> DataFrame:
     """The flat table of all states, residuals, mixture components and weights of ``df``'s records.
 
     One row per object that exists, linked to its parent by ``rec_id`` and positions: ``src, rec_id, batch_no,
     output_no, child, child_no`` (``child``: ``state``, ``residual``, ``component``, ``weight``; positions start at 0 and count
-    nulls; a component and its weight share all positions), and ``mean, num_rows, num_cols, covariance, weight``.
+    nulls; a component and its weight share all positions), and ``mean, num_rows, num_cols, covariance, weight``. A component's row
+    has the weight at its position, null where there are fewer weights.
     Records come from the struct columns named, or from the JSON text in ``payload``, in any of the layouts
     ``{batches: [{outputs}]}``, ``{run: {batches}}``, ``{outputs}``, with lone objects for arrays and objects held as JSON text.
 
     A null struct has no row, a hollow one has a row with null fields. Payloads that are null or not
-    complete JSON have no rows. Rows with a null id are dropped. Repeated records have their own rows.
+    complete JSON have no rows. Rows with a null id are dropped. Repeated records have their own rows. ``leaves`` names the
+    leaf columns wanted; no others are read, shredded or returned. With ``("mean",)`` the mixture's means are read without the objects
+    around them, so a component without mean has a row whether the component is null or hollow.
     """
+    wanted = tuple(n for n in LEAVES if n in leaves)
+    if not {*wanted} & {*_FIELDS}:
+        raise ValueError("leaves must name a field of the objects")
+    out = ", ".join(c for c in OUT.split(", ") if c.split()[0] in wanted or c.split()[0] not in LEAVES)
+    kind = record_type(wanted)
     df = df.where(F.col(rec_id).isNotNull())
     if payload:
         made = df.select(F.col(rec_id).cast("long"), payload)
-        return made.mapInArrow(_run(src, lambda b: pa.array([record_of(p) for p in b.column(1).to_pylist()], RECORD)), OUT)
-    cols = df.columns
-    mix = (F.col(mixture) if mixture else F.lit(None)).cast("struct<weights:array<double>,distributions:array<struct<mean:array<double>,covariance:struct<num_rows:int,num_cols:int,vals:array<double>>>>>")
-    gau = lambda c: _gau(c or "", bool(c), cols).alias
-    output = F.struct(gau(state)("state"), gau(residual)("residual"), mix.alias("mixture"))
+        return made.mapInArrow(_run(src, wanted, lambda b: pa.array([record_of(p, wanted) for p in b.column(1).to_pylist()], kind)), out)
+    gau, mix = _types(wanted)
+    null = lambda t: F.lit(None).cast(_ddl(t))
+    struct = lambda c: (_pruned(F.col(c), gau) if c and c in df.columns else null(gau))
+    if not mixture:
+        parts = null(mix)
+    elif wanted == ("mean",):
+        parts = F.when(F.col(mixture).isNotNull(), F.struct(F.transform(F.col(f"{mixture}.distributions.mean"), lambda m: F.struct(m.cast("array<double>").alias("mean"))).alias("distributions")))
+    else:
+        objects = F.transform(F.col(f"{mixture}.distributions"), lambda g: _pruned(g, gau)).alias("distributions")
+        parts = F.when(F.col(mixture).isNotNull(), F.struct(*([F.col(f"{mixture}.weights").cast("array<double>").alias("weights")] if "weight" in wanted else []), objects))
+    output = F.struct(struct(state).alias("state"), struct(residual).alias("residual"), parts.alias("mixture"))
     made = df.select(F.col(rec_id).cast("long"), F.struct(F.array(F.struct(F.array(output).alias("outputs"))).alias("batches")).alias("r"))
-    return made.mapInArrow(_run(src, lambda b: b.column(1)), OUT)
-
-
-def with_weights(objects: DataFrame) -> DataFrame:
-    """The component table with the weight at the same position (null where weights are fewer)."""
-    link = ["src", "rec_id", "batch_no", "output_no", "child_no"]
-    weights = objects.where("child = 'weight'").select(*link, F.col("weight").alias("_w"))
-    parts = objects.where("child = 'component'").drop("weight", "child")
-    return parts.join(weights, link, "left").withColumnRenamed("_w", "weight")
-
-
-def schema_of_objects() -> T.StructType:
-    """Schema of ``nested_objects``."""
-    return T.StructType.fromDDL(OUT)
+    return made.mapInArrow(_run(src, wanted, lambda b: b.column(1)), out)

@@ -20,24 +20,65 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_spikes(spark, d).select("src", "rec_id")
 
 
-def _objects(spark: SparkSession, d: str) -> DataFrame:
-    ko = shred.nested_objects(table(spark, d, "kalman_output"), "kalman_output", "output_id", state="state", residual="residual")
-    go = shred.nested_objects(table(spark, d, "gaussian_mixture_output"), "gaussian_mixture_output", "output_id", mixture="mixture_model")
-    ro = shred.nested_objects(table(spark, d, "raw_outputs"), "raw_outputs", "raw_id", payload="payload")
+def _objects(spark: SparkSession, d: str, *leaves: str) -> DataFrame:
+    ko = shred.nested_objects(table(spark, d, "kalman_output"), "kalman_output", "output_id", state="state", residual="residual", leaves=leaves)
+    go = shred.nested_objects(table(spark, d, "gaussian_mixture_output"), "gaussian_mixture_output", "output_id", mixture="mixture_model", leaves=leaves)
+    ro = shred.nested_objects(table(spark, d, "raw_outputs"), "raw_outputs", "raw_id", payload="payload", leaves=leaves)
     return ko.unionByName(go).unionByName(ro)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _objects(spark, d).where((F.col("child") != "weight") & (F.size("mean") > 0))
+    rows = _objects(spark, d, "mean").where(F.size("mean") > 0)
     return rows.select("src", "rec_id", "batch_no", "output_no", "child", "child_no")
 
 
+def p2_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables with all their columns."""
+    rows = _objects(spark, d, *shred.LEAVES)
+    return rows.select("src", "rec_id", "batch_no", "output_no", "child", "child_no", F.size(F.coalesce("mean", F.array())).alias("n_mean"), F.try_element_at("mean", F.lit(1)).alias("mean_0"), "num_rows", "num_cols", F.try_element_at("covariance", F.lit(-1)).alias("cov_last"), "weight")
+
+
 def p2_components(spark: SparkSession, d: str) -> DataFrame:
     objects = shred.nested_objects(table(spark, d, "gaussian_mixture_output"), "gaussian_mixture_output", "output_id", mixture="mixture_model")
-    rows = shred.with_weights(objects)
+    rows = objects.where("child = 'component'")
     return rows.select("rec_id", "child_no", F.col("weight").alias("weight"), F.size(F.coalesce("mean", F.array())).alias("n_mean"), F.try_element_at("mean", F.lit(1)).alias("mean_0"), F.try_element_at("covariance", F.lit(1)).alias("cov_0"), "num_rows")
 
 
+def _parsed(v: str) -> str:
+    """The object that JSON text holds, else the value."""
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' AND left(ltrim({v}->>'$'), 1) IN ('{{', '[') AND json_valid({v}->>'$') THEN ({v}->>'$')::JSON ELSE {v} END"
+
+
+def _listed(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'ARRAY' THEN ({v})->'$[*]' WHEN 'OBJECT' THEN [{v}] ELSE []::JSON[] END"
+
+
+def _mean(v: str) -> str:
+    return f"json_type({v}) = 'OBJECT' AND json_type({_parsed(f"({v}->'mean')")}) = 'ARRAY' AND json_array_length({_parsed(f"({v}->'mean')")}) > 0"
+
+
+def _flat(src: str, rec: str, child: str, where: str) -> str:
+    return f"SELECT '{src}' AS src, {rec} AS rec_id, 0 AS batch_no, 0 AS output_no, '{child}' AS child, 0 AS child_no FROM {src} WHERE {where}"
+
+
+P2_FOUND = f"""
+WITH a AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j0 FROM raw_outputs), a1 AS (SELECT raw_id, {_parsed("j0")} AS j FROM a),
+ a2 AS (SELECT raw_id, j, {_parsed("(j->'run')")} AS run FROM a1 WHERE json_type(j) = 'OBJECT'),
+ a3 AS (SELECT raw_id, CASE WHEN NOT json_exists(j, '$.batches') AND json_type(run) = 'OBJECT' THEN run ELSE j END AS j FROM a2),
+ a4 AS (SELECT raw_id, CASE WHEN json_exists(j, '$.batches') THEN {_parsed("(j->'batches')")} ELSE j END AS b FROM a3),
+ b0 AS (SELECT raw_id, {_listed("b")} AS l FROM a4), b1 AS (SELECT raw_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS batch_no FROM b0), b2 AS (SELECT raw_id, batch_no, {_parsed("x")} AS b FROM b1),
+ c0 AS (SELECT raw_id, batch_no, {_parsed("(b->'outputs')")} AS o FROM b2 WHERE json_type(b) = 'OBJECT'), c1 AS (SELECT raw_id, batch_no, {_listed("o")} AS l FROM c0),
+ c2 AS (SELECT raw_id, batch_no, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS output_no FROM c1),
+ c3 AS (SELECT raw_id, batch_no, output_no, {_parsed("x")} AS o FROM c2), o AS (SELECT * FROM c3 WHERE json_type(o) = 'OBJECT'),
+ g AS (SELECT raw_id, batch_no, output_no, 'state' AS child, 0 AS child_no, {_parsed("(o->'state')")} AS g FROM o UNION ALL SELECT raw_id, batch_no, output_no, 'residual', 0, {_parsed("(o->'residual')")} FROM o),
+ m0 AS (SELECT raw_id, batch_no, output_no, {_parsed("(o->'mixtureModel')")} AS m FROM o), m1 AS (SELECT raw_id, batch_no, output_no, {_parsed("(m->'distributions')")} AS p FROM m0 WHERE json_type(m) = 'OBJECT'),
+ m2 AS (SELECT raw_id, batch_no, output_no, {_listed("p")} AS l FROM m1), m3 AS (SELECT raw_id, batch_no, output_no, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS child_no FROM m2),
+ r AS (SELECT * FROM g UNION ALL SELECT raw_id, batch_no, output_no, 'component', child_no, {_parsed("x")} FROM m3)
+SELECT 'raw_outputs' AS src, raw_id AS rec_id, CAST(batch_no AS INT) AS batch_no, CAST(output_no AS INT) AS output_no, child, CAST(child_no AS INT) AS child_no FROM r WHERE {_mean("g")}
+UNION ALL {_flat("kalman_output", "output_id", "state", "len(state.mean) > 0")} UNION ALL {_flat("kalman_output", "output_id", "residual", "len(residual.mean) > 0")}
+UNION ALL SELECT 'gaussian_mixture_output', output_id, 0, 0, 'component', CAST(i - 1 AS INT) FROM (SELECT *, unnest(range(1, len(mixture_model.distributions) + 1)) AS i FROM gaussian_mixture_output) WHERE len(mixture_model.distributions[i].mean) > 0
+"""
+
 P2_COMPONENTS = """
 SELECT output_id AS rec_id, CAST(i - 1 AS INT) AS child_no, mixture_model.weights[i] AS weight,
   CAST(coalesce(len(mixture_model.distributions[i].mean), 0) AS INT) AS n_mean, mixture_model.distributions[i].mean[1] AS mean_0,
@@ -209,5 +250,5 @@ SELECT src, state_key, entry, p AS period_epoch, as_of AS as_of_batch, count(*)
 FROM x JOIN b USING (src, state_key, entry, p) WHERE x.b <= as_of GROUP BY 1, 2, 3, 4, 5
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_components, p3_found, p3_key_results, p3_kind_results, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
-SQL = {"p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_results": P3_KEY_RESULTS, "p3_kind_results": P3_KIND_RESULTS, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_objects, p2_components, p3_found, p3_key_results, p3_kind_results, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
+SQL = {"p2_found": P2_FOUND, "p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_results": P3_KEY_RESULTS, "p3_kind_results": P3_KIND_RESULTS, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}
