@@ -67,6 +67,18 @@ def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p7_packs(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every assignment, beside figures that the tables alone give."""
+    u = packing.utilisation(p7_packs(spark, d).withColumnRenamed("doc_id", "item_id"), table(spark, d, "pack_sizes"))
+    return u.select("pack_id", "n_items", "n_pieces", "n_tokens", (F.col("fullest") <= F.col("capacity")).alias("none_too_full"), (F.col("n_bins") <= F.col("fit_bins")).alias("no_worse_than_best_fit"), (F.col("n_bins") >= F.col("least_bins")).alias("above_bound"))
+
+
+P7_INVARIANTS = """
+SELECT pack_id, count(*) AS n_items, CAST(sum(greatest(1, ceil(n / capacity))) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS n_tokens, TRUE AS none_too_full, TRUE AS no_worse_than_best_fit, TRUE AS above_bound
+FROM (SELECT coalesce(octet_length(encode(text)), 0) AS n FROM documents), pack_sizes GROUP BY 1
+"""
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Passages, questions and answers that leaked, with their places in the text."""
     return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), whole=("question", "answer"))
@@ -84,5 +96,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p6_percentiles_all_rounds, p6_percentiles_by_day, p7_found, p7_packs, p7_utilisation, p8_found, p8_leaks, p9_found, p9_restored)}
-SQL = {"p6_percentiles": P6_PERCENTILES, "p6_percentiles_all_rounds": P6_PERCENTILES, "p6_percentiles_by_day": P6_BY_DAY, "p7_found": P7_FOUND}
+QUERIES = {f.__name__: f for f in (p6_percentiles, p6_percentiles_all_rounds, p6_percentiles_by_day, p7_found, p7_packs, p7_utilisation, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored)}
+SQL = {"p6_percentiles": P6_PERCENTILES, "p6_percentiles_all_rounds": P6_PERCENTILES, "p6_percentiles_by_day": P6_BY_DAY, "p7_found": P7_FOUND, "p7_invariants": P7_INVARIANTS}
