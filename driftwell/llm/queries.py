@@ -88,6 +88,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_entire(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and questions that stand in a document in full, and whether the search by runs finds each such passage, too."""
+    items = table(spark, d, "eval_items").withColumn("entire", F.col("passage"))
+    hits = leaks.find(table(spark, d, "documents"), items, whole=("entire", "question")).select("doc_id", "item_id", "field").distinct()
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.col("field") == "entire").alias("entire"), F.max(F.col("field") == "question").alias("question"), F.max(F.col("field") == "passage").alias("run")).where("entire OR question").select("doc_id", "item_id", "entire", "question", (F.col("run") | ~F.col("entire")).alias("run_found"))
+
+
+#: Case folded, signs that are misread letters put back, letters and digits only.
+_LETTERS = r"regexp_replace(regexp_replace(regexp_replace(replace(lower({}), 'ß', 'ss'), '[!|]([\p{{L}}\p{{N}}])', 'l\1', 'g'), '\(([\p{{L}}\p{{N}}])', 'c\1', 'g'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+P8_ENTIRE = f"""
+WITH d AS (SELECT doc_id, {_LETTERS.format("text")} AS t FROM documents), i AS (SELECT item_id, {_LETTERS.format("passage")} AS p, {_LETTERS.format("question")} AS q FROM eval_items)
+SELECT doc_id, item_id, contains(t, p) AS entire, contains(t, q) AS question, TRUE AS run_found FROM d JOIN i ON contains(t, p) OR contains(t, q)
+"""
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(table(spark, d, "documents"))
 
@@ -96,5 +111,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p6_percentiles_all_rounds, p6_percentiles_by_day, p7_found, p7_packs, p7_utilisation, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored)}
-SQL = {"p6_percentiles": P6_PERCENTILES, "p6_percentiles_all_rounds": P6_PERCENTILES, "p6_percentiles_by_day": P6_BY_DAY, "p7_found": P7_FOUND, "p7_invariants": P7_INVARIANTS}
+def p9_certain(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with signs that only wrong decoding leaves, and whether each is found."""
+    docs = table(spark, d, "documents")
+    certain = docs.where(F.col("text").rlike("[\ufffd\x80-\x9f]")).select("doc_id")
+    found = p9_found(spark, d).select("doc_id", F.lit(True).alias("found"))
+    return certain.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+P9_CERTAIN = "SELECT doc_id, TRUE AS found FROM documents WHERE regexp_matches(text, '[\ufffd\x80-\x9f]')"
+
+QUERIES = {f.__name__: f for f in (p6_percentiles, p6_percentiles_all_rounds, p6_percentiles_by_day, p7_found, p7_packs, p7_utilisation, p7_invariants, p8_found, p8_leaks, p8_entire, p9_found, p9_restored, p9_certain)}
+SQL = {"p6_percentiles": P6_PERCENTILES, "p6_percentiles_all_rounds": P6_PERCENTILES, "p6_percentiles_by_day": P6_BY_DAY, "p7_found": P7_FOUND, "p7_invariants": P7_INVARIANTS, "p8_entire": P8_ENTIRE, "p9_certain": P9_CERTAIN}
