@@ -4,16 +4,24 @@ from driftwell.functions.aggregates import axpy_array_aggregate, axpy_matrix_agg
 from driftwell.functions.matrices import (
     array_to_matrix,
     diag_matrix,
+    diag_struct,
     eye_matrix,
+    eye_struct,
     matrix_to_array,
     multiply_matrix,
     multiply_matrix_vector,
+    multiply_struct,
+    multiply_struct_array,
     outer_product,
+    outer_struct,
     project_matrix,
+    project_struct,
     rand_multi_gaussian,
     rand_multi_gaussian_with_col,
     scale_to_multi_gaussian,
+    transpose_struct,
     zeros_matrix,
+    zeros_struct,
 )
 from driftwell.functions.vectors import array_to_vector, axpy_array, axpy_vector, dot_array, dot_vector, ones_vector, scal_array, scal_vector, vector_to_array, zeros_vector
 

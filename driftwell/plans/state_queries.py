@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell import estimators as E
+from driftwell import functions as f
 from driftwell.functions import axpy_array, axpy_array_aggregate, dot_array, latest_state_likelihood, scal_array
 from driftwell.sources import table
 
@@ -251,6 +252,33 @@ VECTOR_FUNCTIONS = """SELECT vec_id, round(list_sum(list_transform(x, lambda v:
 FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"""
 
 
+def matrix_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Products of matrices and vectors that are cut out of each embedding, as structs and through ML types."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    mat = lambda rows, cols, first: F.struct(F.lit(rows).alias("numRows"), F.lit(cols).alias("numCols"), F.slice("x", first, rows * cols).alias("values"))
+    a, b, v = mat(2, 3, 1), mat(3, 2, 7), F.slice("x", 13, 3)
+    ml = lambda m: f.array_to_matrix(m)
+    made = e.select(
+        "vec_id", f.multiply_struct(a, b)["values"].alias("ab"), f.multiply_struct_array(a, v).alias("av"), f.project_struct(f.diag_struct(v), a)["values"].alias("ada"), f.outer_struct(0.5, v, v)["values"].alias("vv"),
+        f.matrix_to_array(f.multiply_matrix(ml(a), ml(b)))["values"].alias("ml_ab"), f.vector_to_array(f.multiply_matrix_vector(ml(a), f.array_to_vector(v))).alias("ml_av"),
+        f.matrix_to_array(f.project_matrix(f.diag_matrix(f.array_to_vector(v)), ml(a)))["values"].alias("ml_ada"), f.vector_to_array(f.scale_to_multi_gaussian(f.ones_vector(2), f.eye_matrix(2), f.zeros_vector(2))).alias("one"), f.matrix_to_array(f.zeros_matrix(1, 1))["values"].alias("zero"))
+    return made.select("vec_id", *(F.round(F.get(c, F.lit(k)), 6).alias(f"{c}_{k}") for c, n in (("ab", 4), ("av", 2), ("ada", 4), ("vv", 2), ("ml_ab", 4), ("ml_av", 2), ("ml_ada", 4), ("one", 1), ("zero", 1)) for k in range(n)))
+
+
+def _matrix_sql() -> str:
+    a = lambda i, k: f"x[{1 + k * 2 + i}]"
+    b = lambda k, j: f"x[{7 + j * 3 + k}]"
+    v = lambda k: f"x[{13 + k}]"
+    total = lambda terms: " + ".join(terms)
+    ab = [total(f"{a(i, k)} * {b(k, j)}" for k in range(3)) for j in range(2) for i in range(2)]
+    av = [total(f"{a(i, k)} * {v(k)}" for k in range(3)) for i in range(2)]
+    ada = [total(f"{a(i, k)} * {v(k)} * {a(j, k)}" for k in range(3)) for j in range(2) for i in range(2)]
+    vv = [f"0.5 * {v(0)} * {v(0)}", f"0.5 * {v(1)} * {v(0)}"]
+    cols = {"ab": ab, "av": av, "ada": ada, "vv": vv, "ml_ab": ab, "ml_av": av, "ml_ada": ada, "one": ["1.0::DOUBLE"], "zero": ["0.0::DOUBLE"]}
+    listed = ", ".join(f"round({e}, 6) AS {c}_{k}" for c, es in cols.items() for k, e in enumerate(es))
+    return f"SELECT vec_id, {listed} FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+
+
 def vector_aggregate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3 + 1).cast("double").alias("w"), F.col("embedding").cast("array<double>").alias("x"))
     size = e.agg(F.max(F.size("x"))).first()[0] or 0
@@ -258,7 +286,7 @@ def vector_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("label", F.posexplode("s").alias("pos", "v")).select("label", "pos", F.round("v", 5).alias("total"))
 
 
-VECTOR_AGGREGATE = """SELECT label, CAST(i - 1 AS INT) AS pos, round(sum((vec_id % 3 + 1) * embedding[i]::DOUBLE), 5) AS total FROM embeddings, (SELECT unnest(range(1, 17)) AS i) GROUP BY 1, 2"""
+VECTOR_AGGREGATE = """SELECT label, CAST(i - 1 AS INT) AS pos, round(sum((vec_id % 3 + 1) * embedding[i]::DOUBLE), 5) AS total FROM embeddings, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i) GROUP BY 1, 2"""
 
 
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
@@ -316,6 +344,7 @@ _ALL = {
     "batch_em_events": (batch_em_events, _batch_em_sql(3)),
     "vector_functions": (vector_functions, VECTOR_FUNCTIONS),
     "vector_aggregate": (vector_aggregate, VECTOR_AGGREGATE),
+    "matrix_functions": (matrix_functions, _matrix_sql()),
     "latest_state": (latest_state, LATEST_STATE),
     "lkf_sensors": (lkf_sensors, None),
     "rls_sensors": (rls_sensors, None),

@@ -25,6 +25,18 @@ def test_matrices(spark):
     assert np.allclose(r[8].toArray(), np.diag(x)) and np.allclose(r[9].toArray(), x + b @ y) and np.allclose(r[10].toArray(), b)
 
 
+def test_matrix_layouts_and_sizes(spark):
+    from pyspark.ml.linalg import SparseMatrix
+
+    rows = [(DenseMatrix(2, 3, [1.0, 2, 3, 4, 5, 6], True),), (SparseMatrix(3, 2, [0, 1, 3], [2, 0, 1], [7.0, 8.0, 9.0]),), (SparseMatrix(2, 3, [0, 1, 3], [2, 0, 1], [7.0, 8.0, 9.0], True),), (DenseMatrix(0, 0, []),)]
+    df = spark.createDataFrame(rows, ["m"])
+    for r, (m,) in zip(df.select(f.matrix_to_array("m").alias("s"), f.array_to_matrix(f.matrix_to_array("m")).alias("m")).collect(), rows, strict=True):
+        assert r.s.values == m.toArray().ravel("F").tolist() and (r.s.numRows, r.s.numCols) == (m.numRows, m.numCols) and np.array_equal(r.m.toArray(), m.toArray())
+    wide = df.limit(1).select(f.multiply_struct(f.matrix_to_array("m"), f.matrix_to_array("m")).alias("no"), f.multiply_struct(f.matrix_to_array("m"), f.transpose_struct(f.matrix_to_array("m"))).alias("yes")).first()
+    a = rows[0][0].toArray()
+    assert wide.no is None and np.allclose(wide.yes["values"], (a @ a.T).ravel("F"))
+
+
 def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0]), 1)], ["y", "i"]).withColumn("x", F.when(F.col("i") > 1, F.col("y")))
     r = df.select(f.dot_vector("x", "y").alias("d"), f.axpy_vector(1.0, "x", "y").alias("s"), f.vector_to_array("x").alias("a"), f.diag_matrix("x").alias("m")).first()
