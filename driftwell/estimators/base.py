@@ -16,6 +16,7 @@ from driftwell.functions.matrices import array_to_matrix, matrix_to_array
 from driftwell.functions.vectors import array_to_vector, vector_to_array
 
 MAT_DDL = "struct<numRows:int,numCols:int,values:array<double>>"
+SVD_METHOD, RAISE = "spark.driftwell.linalg.svdMethod", "spark.driftwell.linalg.raiseExceptions"  #: session settings of the decompositions
 GAU_DDL = f"struct<mean:array<double>,covariance:{MAT_DDL}>"
 
 
@@ -115,6 +116,8 @@ class KeyedTransformer(Transformer, Persistent):
         tie = [F.col(self.opt("orderCol")).alias(runtime.TIE)] if self.isSet(self.orderCol) else []
         rows = df.select(key.alias(runtime.KEY), time.alias(runtime.TIME), *tie, *(c.alias(n) for n, c in self.inputs(df).items()))
         model = self.model()
+        conf = df.sparkSession.conf
+        model.linalg = (conf.get(SVD_METHOD, "gesdd"), conf.get(RAISE, "false").lower() == "true")
         if df.isStreaming:
             if self.isSet(self.watermarkDuration):
                 rows = rows.withWatermark(runtime.TIME, self.opt("watermarkDuration"))

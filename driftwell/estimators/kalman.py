@@ -324,8 +324,8 @@ class ExtendedKalmanFilter(_Kalman):
     Spec("merweBeta", float, 2.0, "Prior knowledge of the distribution; 2 for Gaussians"),
     Spec("merweKappa", float, 0.1, "Secondary scaling"),
     Spec("julierKappa", float, 1.0, "Scaling of Julier's points"),
-    Spec("stateLowerBound", as_vector, doc="Least values of sigma points", also=("setSigmaPointsLowerBound", "setLowerBound")),
-    Spec("stateUpperBound", as_vector, doc="Greatest values of sigma points", also=("setSigmaPointsUpperBound", "setUpperBound")),
+    Spec("stateLowerBound", as_vector, doc="Least values of sigma points", also=("setSigmaPointLowerBound", "setSigmaPointsLowerBound", "setLowerBound")),
+    Spec("stateUpperBound", as_vector, doc="Greatest values of sigma points", also=("setSigmaPointUpperBound", "setSigmaPointsUpperBound", "setUpperBound")),
     Spec("adaptiveProcessNoise", bool, False, "Raise the process noise after outlying residuals", ("setEnableAdaptiveProcessNoise",)),
     Spec("adaptiveProcessNoiseThreshold", float, 2.0, "Squared Mahalanobis distance from which noise adapts"),
     Spec("adaptiveProcessNoiseLambda", between(0.0, 1.0), 0.9, "Least weight of the adaptation"),

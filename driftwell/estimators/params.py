@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -12,6 +13,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.ml.linalg import DenseMatrix, DenseVector, Matrix, Vector
 from pyspark.ml.param import Param, Params
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 
 NO = object()
 
@@ -110,8 +112,8 @@ def decode(spec: Spec, value: Any) -> Any:
     return cloudpickle.loads(base64.b64decode(value["pickled"])) if spec.convert is as_function else value
 
 
-class Persistent(Params):
-    """Saving and loading as one JSON text; functions are pickled, so load only what you trust."""
+class Persistent(Params, MLWritable, MLReadable):
+    """Saving and loading in Spark ML's form, alone or in a pipeline; functions are pickled, so load only what you trust."""
 
     _specs: dict[str, Spec] = {}
 
@@ -128,39 +130,37 @@ class Persistent(Params):
     def write(self) -> Writer:
         return Writer(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
-    def load(cls, path: str):
-        from pyspark.sql import SparkSession
-
-        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        data = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/metadata").collect()))
-        if data["class"] != cls.__name__:
-            raise ValueError(f"{path} holds a {data['class']}, not a {cls.__name__}")
-        made = cls()
-        made._resetUid(data["uid"])
-        made._set(**{n: decode(cls._specs[n], v) for n, v in data["params"].items()})
-        return made
+    def read(cls) -> Reader:
+        return Reader(cls)
 
 
-
-class Writer:
-    """Writes an estimator's parameters to a folder."""
+class Writer(MLWriter):
+    """Writes an estimator's parameters as one line of JSON under ``metadata``."""
 
     def __init__(self, owner: Persistent) -> None:
-        self.owner, self.mode = owner, "error"
+        super().__init__()
+        self.owner = owner
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802 - as in Spark ML
+        o, spark = self.owner, self.sparkSession
+        set_ = {n: encode(s, o.getOrDefault(getattr(o, n))) for n, s in o._specs.items() if o.isSet(getattr(o, n))}
+        text = json.dumps({"class": f"{type(o).__module__}.{type(o).__name__}", "timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "uid": o.uid, "paramMap": set_, "defaultParamMap": {}})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(f"{path}/metadata")
 
-    def overwrite(self) -> Writer:
-        self.mode = "overwrite"
-        return self
 
-    def save(self, path: str) -> None:
-        from pyspark.sql import SparkSession
+class Reader(MLReader):
+    """Reads what ``Writer`` wrote."""
 
-        o = self.owner
-        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        set_ = {n: encode(s, o.getOrDefault(getattr(o, n))) for n, s in o._specs.items() if o.isSet(getattr(o, n))}
-        text = json.dumps({"class": type(o).__name__, "uid": o.uid, "params": set_})
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(self.mode).text(f"{path}/metadata")
+    def __init__(self, cls: type[Persistent]) -> None:
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> Persistent:
+        data = json.loads("\n".join(r[0] for r in self.sparkSession.read.text(f"{path}/metadata").collect()))
+        if data["class"].rpartition(".")[2] != self.cls.__name__:
+            raise ValueError(f"{path} holds a {data['class']}, not a {self.cls.__name__}")
+        made = self.cls()
+        made._resetUid(data["uid"])
+        made._set(**{n: decode(self.cls._specs[n], v) for n, v in data["paramMap"].items()})
+        return made

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell import runtime
-from driftwell.estimators.base import KeyedTransformer, gaussian_column, vector_column
+from driftwell.estimators.base import KeyedTransformer, gaussian_column, matrix_column, vector_column
 from driftwell.estimators.params import Spec, as_matrix, as_size, as_vector, between, declare
 from driftwell.kernels.regression import lms_step, rls_step
 
@@ -21,7 +21,7 @@ class _Regression(runtime.KeyedModel):
 
     def __init__(self, o: dict[str, Any], gaussian: bool, with_initial: bool) -> None:
         self.o, self.gaussian = o, gaussian
-        self.columns = {"u": "vector", "d": "double"} | ({"initial": "object"} if with_initial else {})
+        self.columns = {"u": "vector", "d": "double"} | ({"initial": "object"} if with_initial else {}) | ({"reg": "object"} if o.get("reg") else {})
         self.output = [pa.field("stateIndex", pa.int64()), pa.field("state", runtime.GAU if gaussian else pa.list_(pa.float64()))]
 
     def begin(self, rows, first, n):
@@ -32,6 +32,11 @@ class _Regression(runtime.KeyedModel):
         if self.gaussian:
             p = self.o["p"]
             state["p"] = np.tile(np.eye(size) * p if np.isscalar(p) else np.asarray(p, float), (n, 1, 1))
+        for g, m in enumerate(first.get("reg", ())):
+            if m is not None:
+                if len(m["values"]) != size * size:
+                    raise ValueError(f"the regularization matrix must have {size} rows and columns")
+                state["p"][g] = np.asarray(m["values"], float).reshape(size, size).T
         for g, x in enumerate(given):
             if x is not None:
                 w = x["mean"] if self.gaussian else x
@@ -107,7 +112,8 @@ class LeastMeanSquaresFilter(_Labelled):
     Spec("initialEstimate", as_vector, doc="Initial coefficients; zeros by default"),
     Spec("regularizationMatrix", as_matrix, doc="Initial inverse correlation; 1e5 times the identity by default"),
     Spec("regularizationMatrixFactor", float, 10e4, "Factor of the identity as initial inverse correlation", ("setRegularizationMatrixFactor",)),
-    Spec("initialStateDistributionCol", str, doc="Struct column of mean and covariance, read at a key's first row"),
+    Spec("regularizationMatrixCol", str, doc="Column of the initial inverse correlation, read at a key's first row"),
+    Spec("initialStateDistributionCol", str, doc="Struct column of mean and covariance, read at a key's first row; goes before the other initial values"),
 )
 class RecursiveLeastSquaresFilter(_Labelled):
     """Recursive least squares per key, with forgetting.
@@ -119,8 +125,9 @@ class RecursiveLeastSquaresFilter(_Labelled):
     default_key = "filter.recursiveLeastSquares"
 
     def inputs(self, df: DataFrame) -> dict[str, Column]:
-        return self._pair(df) | ({"initial": gaussian_column(df, self.opt("initialStateDistributionCol"))} if self.isSet(self.initialStateDistributionCol) else {})
+        given = {"initial": gaussian_column(df, self.opt("initialStateDistributionCol"))} if self.isSet(self.initialStateDistributionCol) else {}
+        return self._pair(df) | given | ({"reg": matrix_column(df, self.opt("regularizationMatrixCol"))} if self.isSet(self.regularizationMatrixCol) else {})
 
     def model(self) -> runtime.KeyedModel:
         p = self.opt("regularizationMatrix")
-        return _Regression({"size": self.opt("featureSize"), "mean": self.opt("initialEstimate"), "p": self.opt("regularizationMatrixFactor") if p is None else p, "forget": self.opt("forgettingFactor")}, True, self.isSet(self.initialStateDistributionCol))
+        return _Regression({"size": self.opt("featureSize"), "mean": self.opt("initialEstimate"), "p": self.opt("regularizationMatrixFactor") if p is None else p, "forget": self.opt("forgettingFactor"), "reg": self.isSet(self.regularizationMatrixCol)}, True, self.isSet(self.initialStateDistributionCol))

@@ -5,6 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 LOG_2PI = float(np.log(2 * np.pi))
+SVD_METHODS = ("gesdd", "eigh")
+_options = {"svd": "gesdd", "raising": False}
+
+
+def use(svd: str = "gesdd", raising: bool = False) -> None:
+    """Choose how this process decomposes matrices: ``gesdd``, or ``eigh``, which takes them for symmetric; whether matrices that aren't finite raise."""
+    if svd not in SVD_METHODS:
+        raise ValueError(f"the method must be one of {', '.join(SVD_METHODS)}: {svd}")
+    _options.update(svd=svd, raising=raising)
+
+
+def _finite(s: np.ndarray) -> np.ndarray:
+    ok = np.isfinite(s).all(axis=(-1, -2))
+    if _options["raising"] and not ok.all():
+        raise np.linalg.LinAlgError("a matrix has entries that aren't finite")
+    return ok
 
 
 def t(a: np.ndarray) -> np.ndarray:
@@ -23,13 +39,18 @@ def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _svd(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Singular values where all entries are finite; others are decomposed as zeros and reported."""
-    ok = np.isfinite(s).all(axis=(-1, -2))
-    return *np.linalg.svd(np.where(ok[..., None, None], s, 0.0), full_matrices=False), ok[..., None, None]
+    ok = _finite(s)[..., None, None]
+    s = np.where(ok, s, 0.0)
+    if _options["svd"] == "eigh" and s.shape[-1] == s.shape[-2]:
+        d, v = np.linalg.eigh((s + t(s)) / 2)
+        return v, np.abs(d), np.sign(d)[..., None] * t(v), ok
+    return *np.linalg.svd(s, full_matrices=False), ok
 
 
 def pinv(s: np.ndarray) -> np.ndarray:
     """Pseudo-inverse that inverts every singular value but exact zeros; NaN for matrices that aren't finite."""
     if s.shape[-1] == s.shape[-2] == 1:
+        _finite(s)
         with np.errstate(divide="ignore"):
             return np.where(s != 0, 1.0 / np.where(s != 0, s, 1.0), 0.0)
     u, d, vt, ok = _svd(s)

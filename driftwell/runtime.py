@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftwell.kernels.linalg import use
 from driftwell.session import _starts, by_key
 
 CHUNK_ROWS = 100_000
@@ -92,6 +93,12 @@ class KeyedModel:
     output: list[pa.Field] = []
     #: Whether a key emits once, at its last row (``finish``); such keys must fit in a chunk.
     once = False
+    #: How matrices are decomposed, and whether ones that aren't finite raise (``kernels.linalg.use``).
+    linalg = ("gesdd", False)
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        self.__dict__.update(state)
+        use(*self.linalg)  # a worker decomposes as the model it was sent says
 
     def begin(self, rows: dict[str, Any], first: dict[str, list], n: int) -> State:
         """States of ``n`` keys from their first rows."""

@@ -425,3 +425,59 @@ def test_lkf_sensors_uses_every_optional_model(spark, tmp_path):
     assert set(got) == set(want)
     for k, level in want.items():
         assert np.isclose(got[k], level), k
+
+
+def test_a_pipeline_with_filters_is_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(f"k{i % 2}", float(i), float(i * i % 7)) for i in range(20)], "k string, x double, label double")
+    stages = [VectorAssembler(inputCols=["x"], outputCol="features"), RecursiveLeastSquaresFilter(stateKeyCol="k", orderCol="x", forgettingFactor=0.9)]
+    model = Pipeline(stages=stages).fit(df)
+    model.write().overwrite().save(f"{tmp_path}/p")
+    again = PipelineModel.load(f"{tmp_path}/p")
+    assert again.stages[1].uid == model.stages[1].uid and again.stages[1].getForgettingFactor() == 0.9
+    assert sorted(map(str, again.transform(df).collect())) == sorted(map(str, model.transform(df).collect()))
+    assert RecursiveLeastSquaresFilter.read().load(model.stages[1].write().overwrite().save(f"{tmp_path}/f") or f"{tmp_path}/f").getStateKeyCol() == "k"
+
+
+def test_regularization_matrix_of_a_column(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0], 3.0, [[10.0, 1.0], [1.0, 5.0]]), ("b", [1.0, 2.0], 3.0, None)], "k string, features array<double>, label double, m array<array<double>>")
+    out = {r.k: r.state for r in RecursiveLeastSquaresFilter(stateKeyCol="k", regularizationMatrixCol="m", regularizationMatrixFactor=7.0).transform(df).collect()}
+    for k, p in (("a", np.array([[10.0, 1], [1, 5]])), ("b", 7 * np.eye(2))):
+        u = np.array([1.0, 2.0])
+        gain = p @ u / (1 + u @ p @ u)
+        assert np.allclose(out[k].mean, gain * 3) and np.allclose(np.reshape(out[k].covariance["values"], (2, 2)), p - np.outer(gain, u @ p))
+    with pytest.raises(Exception):  # noqa: B017 - a matrix of another size
+        RecursiveLeastSquaresFilter(stateKeyCol="k", regularizationMatrixCol="m").transform(df.withColumn("m", F.array(F.array(F.lit(1.0))))).collect()
+
+
+def test_decompositions_by_either_method(spark):
+    from driftwell.kernels import linalg
+
+    a = np.random.default_rng(3).normal(size=(4, 3, 3))
+    s = a @ np.swapaxes(a, 1, 2)
+    try:
+        made = []
+        for method in linalg.SVD_METHODS:
+            linalg.use(method)
+            made.append((linalg.pinv(s), linalg.root(s)))
+        assert all(np.allclose(x, y) for x, y in zip(*made, strict=True)) and np.allclose(made[1][1] @ made[1][1], s)
+        assert np.isnan(linalg.pinv(np.full((1, 2, 2), np.nan))).all()
+        linalg.use(raising=True)
+        with pytest.raises(np.linalg.LinAlgError):
+            linalg.root(np.full((1, 2, 2), np.inf))
+        with pytest.raises(ValueError):
+            linalg.use("other")
+    finally:
+        linalg.use()
+    df = spark.createDataFrame([("a", i, [float(i), float(-i)]) for i in range(6)], "k string, i int, measurement array<double>")
+    f = UnscentedKalmanFilter(stateKeyCol="k", orderCol="i", stateSize=2, measurementModel=np.eye(2), measurementNoise=np.eye(2))
+    plain = [r.state for r in f.transform(df).orderBy("stateIndex").collect()]
+    spark.conf.set("spark.driftwell.linalg.svdMethod", "eigh")
+    try:
+        other = [r.state for r in f.transform(df).orderBy("stateIndex").collect()]
+    finally:
+        spark.conf.unset("spark.driftwell.linalg.svdMethod")
+    assert np.allclose([s.mean for s in plain], [s.mean for s in other])
+    assert hasattr(f, "setSigmaPointLowerBound") and hasattr(f, "setSigmaPointUpperBound")
