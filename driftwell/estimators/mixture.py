@@ -115,7 +115,7 @@ class MixtureModel(runtime.KeyedModel):
             samples = buffer[g, :size]
             model = (state["w"][g], {k: state[f"m_{k}"][g] for k in names})
             summary = em.em_step(self.family, samples, (state["sw"][g], {k: state[f"s_{k}"][g] for k in names}), model, gamma[sel], o["chained"])
-            fresh = em.from_summary(summary)
+            fresh = em.from_summary(summary, model[1])
             held = (state["index"][g] < hold[local][sel])
             state["sw"][g] = summary[0]
             state["w"][g] = np.where(held[:, None], model[0], fresh[0])
@@ -216,35 +216,160 @@ class _Mixture(KeyedTransformer):
     def _batch_em(self, df: DataFrame) -> DataFrame:
         """Passes of one step per key over all its samples, until the summed log-likelihood gains too little.
 
-        Each pass is cut by a staged table of one row per key; the driver sees one number per pass.
+        A pass joins every sample with its key's model and folds the responsibilities to sums per Arrow batch and key, which are added up
+        by key, so a hot key is shared by all tasks and samples are never shuffled. The models, one row per key, are
+        written after each pass; the driver sees one number per pass. Rows with a null key or sample take no part.
         """
         key = self.opt("stateKeyCol") or "stateKey"
         keyed = df if self.isSet(self.stateKeyCol) else df.withColumn(key, F.lit(self.default_key))
-        base = self.copy()
-        base._set(stateKeyCol=key, updateHoldout=0, batchTrainEnabled=False)
-        for p in (base.decayRate, base.updateHoldoutCol):
-            base.clear(p)
-        given = [c for c in {*base._given().values()} if c not in (self.opt("minibatchSizeCol"), self.opt("updateHoldoutCol"))]
-        base.clear(base.minibatchSizeCol)
-        samples = stage(keyed.select(key, *{base.opt("sampleCol"), *given, *([base.opt("orderCol")] if base.isSet(base.orderCol) else [])} - {key}))
-        ok = base.sample(samples).isNotNull()
-        sizes = stage(samples.groupBy(key).agg(F.count(F.when(ok, 1)).alias("__batch")))
-        base._set(minibatchSizeCol="__batch")
-        base.clear(base.eventTimeCol)
-        rows = samples.join(sizes.where("__batch > 0"), key)
-        one = lambda t, frame: stage(t.states(frame).groupBy(key).agg(F.max_by(F.struct("mixtureModel", "loglikelihood"), "stateIndex").alias("_m")).select(key, "_m.*"))
-        model = one(base, rows)
-        total = model.agg(F.sum("loglikelihood")).first()[0] or 0.0
-        again = base.copy()
-        again._set(initialMixtureModelCol="__model")
-        for n in range(1, self.opt("batchTrainMaxIter")):
-            frame = rows.join(model.select(key, F.col("mixtureModel").alias("__model")), key)
-            model = one(again, frame)
-            now = model.agg(F.sum("loglikelihood")).first()[0] or 0.0
-            gain, total = now - total, now
-            if not gain > self.opt("batchTrainTol"):
-                break
-        return self.formatted(model)
+        given = {k: c for k, c in self._given().items() if k not in ("batch", "hold")}
+        inputs = self.inputs(keyed)
+        rows = keyed.select(F.col(key).alias("key"), inputs["x"].alias("x"), *(inputs[k].alias(f"in_{k}") for k in given), (F.col(self.opt("orderCol")) if self.isSet(self.orderCol) else F.lit(0)).alias("tie"))
+        rows = stage(rows.where(F.col("key").isNotNull() & F.col("x").isNotNull()))
+        first = [F.min_by(F.struct(*(F.col(f"in_{k}").alias(k) for k in given if k != "step")), "tie").alias("first")] if {*given} - {"step"} else []
+        step = F.coalesce(F.max_by("in_step", "tie"), F.lit(self.opt("stepSize"))) if "step" in given else F.lit(self.opt("stepSize"))
+        keys = rows.groupBy("key").agg(*first, step.cast("double").alias("gamma"))
+        model, kind = self.model(), dict(keys.dtypes)["key"]
+        state = stage(keys.mapInArrow(_first_models(model, bool(first)), f"key {kind}, gamma double, {_STATE}"))
+        n_keys, size = state.agg(F.count(F.lit(1)), F.max(F.size("w") + F.size("theta"))).first()
+        chained, family, width = self.opt("chainedLogSum"), self.family, model._param
+        sized = lambda t: F.broadcast(t) if n_keys <= FEW else t.hint("merge")
+        total = None
+        for n in range(self.opt("batchTrainMaxIter") + 1):
+            of = sized(state.select(F.col("key").alias("k"), "w", "theta"))
+            met = rows.select("key", "x").join(of, F.col("key") == F.col("k")).drop("k")
+            parts = met.mapInArrow(_expect(family, width, chained), f"key {kind}, n bigint, ll double, sums array<double>")
+            folded = _added_up(parts, size or 0)
+            # The next models, with the log-likelihood of these.
+            nxt = stage(folded.join(sized(state), "key").mapInArrow(_maximise(family, width), f"key {kind}, gamma double, {_STATE}, ll double"))
+            if n:
+                now = nxt.agg(F.sum("ll")).first()[0] or 0.0
+                if n == self.opt("batchTrainMaxIter") or (n > 1 and not now - total > self.opt("batchTrainTol")):
+                    break
+                total = now
+            state = nxt.drop("ll")
+        made = state.join(nxt.select("key", "ll"), "key").mapInArrow(_named(model), f"key {kind}, mixtureModel {_ddl(_arrow_model(family))}, loglikelihood double")
+        return self.formatted(made.withColumnRenamed("key", key))
+
+
+WIDE = 100  #: numbers per key up to which sums are columns; longer ones are exploded
+
+
+def _added_up(parts: DataFrame, size: int) -> DataFrame:
+    """``(key, n, ll, sums)``: the parts of each key added up, entry by entry, with map-side folding."""
+    totals = [F.sum("n").alias("n"), F.sum("ll").alias("ll")]
+    if size <= WIDE:
+        entries = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size)]
+        folded = parts.groupBy("key").agg(*totals, *entries, F.max(F.size("sums")).alias("size"))
+        return folded.select("key", "n", "ll", F.slice(F.array(*(f"s{i}" for i in range(size))), F.lit(1), F.col("size")).alias("sums") if size else F.array().cast("array<double>").alias("sums"))
+    parts = stage(parts)
+    placed = parts.select("key", F.posexplode("sums").alias("pos", "v")).groupBy("key", "pos").agg(F.sum("v").alias("v"))
+    sums = placed.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("sums"))
+    return parts.groupBy("key").agg(*totals).join(sums, "key")
+
+
+FEW = 10_000  #: models that a pass broadcasts; more are joined by a shuffle
+_STATE = "k int, d int, w array<double>, theta array<double>, sw array<double>, stheta array<double>"
+
+
+def _ddl(kind: pa.DataType) -> str:
+    if pa.types.is_struct(kind):
+        return f"struct<{','.join(f'{f.name}:{_ddl(f.type)}' for f in kind)}>"
+    return f"array<{_ddl(kind.value_type)}>" if pa.types.is_list(kind) else {"double": "double", "int32": "int"}[str(kind)]
+
+
+def _flat(params: em.Params) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in params.values()])
+
+
+def _shaped(family: str, name: str, theta: list[float], k: int) -> em.Params:
+    """Parameters of ``k`` components from their flat form."""
+    a = np.asarray(theta, float)
+    if family != "gaussian":
+        return {name: a}
+    d = int(round((np.sqrt(1 + 4 * len(a) / k) - 1) / 2))  # k (d + d^2) entries
+    return {"mean": a[: k * d].reshape(k, d), "cov": a[k * d :].reshape(k, d, d)}
+
+
+def _state_batch(keys: pa.Array, gammas: list[float], models: list[tuple]) -> pa.RecordBatch:
+    """``models``: (weights, parameters, weights and parameters of the summary) of each key."""
+    lists = [pa.array([np.ravel(m[i] if i in (0, 2) else _flat(m[i])).tolist() for m in models], pa.list_(pa.float64())) for i in range(4)]
+    d = [m[1]["mean"].shape[1] if "mean" in m[1] else 1 for m in models]
+    return pa.RecordBatch.from_arrays([keys, pa.array(gammas, pa.float64()), pa.array([len(m[0]) for m in models], pa.int32()), pa.array(d, pa.int32()), *lists], names=["key", "gamma", "k", "d", "w", "theta", "sw", "stheta"])
+
+
+def _first_models(model: MixtureModel, with_first: bool):
+    def run(batches):
+        for b in batches:
+            made = []
+            firsts = b.column("first").to_pylist() if with_first else [{}] * b.num_rows
+            for f in firsts:
+                w, params = model._initial({n: [v] for n, v in (f or {}).items()}, 0)
+                made.append((w, params, w, {n: a[0] for n, a in em.scaled({n: a[None] for n, a in params.items()}, w[None]).items()}))
+            if made:
+                yield _state_batch(b.column("key"), b.column("gamma").to_pylist(), made)
+
+    return run
+
+
+def _expect(family: str, name: str, chained: bool):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            code = t.column("key").combine_chunks().dictionary_encode()
+            owner = code.indices.to_numpy()
+            order = np.argsort(owner, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
+            x = b.column("x")
+            flat = None if family == "gaussian" else x.to_numpy(zero_copy_only=False)
+            rows, n, ll, sums = [], [], [], []
+            for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+                own = order[lo:hi]
+                w = np.asarray(b.column("w")[own[0]].as_py(), float)
+                params = _shaped(family, name, b.column("theta")[own[0]].as_py(), len(w))
+                samples = np.array(x.take(pa.array(own)).to_pylist(), float) if flat is None else flat[own]
+                r, stats, total = em.expectations(family, samples, w, params, chained)
+                rows.append(own[0])
+                n.append(len(own))
+                ll.append(total)
+                sums.append(np.r_[r, _flat(stats)].tolist())
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(ll, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], names=["key", "n", "ll", "sums"])
+
+    return run
+
+
+def _maximise(family: str, name: str):
+    def run(batches):
+        for b in batches:
+            made = []
+            for r in b.to_pylist():
+                k, gamma, n = r["k"], r["gamma"], r["n"]
+                sums = np.asarray(r["sums"], float) / n
+                old, new = _shaped(family, name, r["stheta"], k), _shaped(family, name, sums[k:], k)
+                sw = (1 - gamma) * np.asarray(r["sw"], float) + gamma * sums[:k]
+                summary = {p: (1 - gamma) * old[p] + gamma * new[p] for p in old}
+                w, params = em.from_summary((sw[None], {p: a[None] for p, a in summary.items()}), {p: a[None] for p, a in _shaped(family, name, r["theta"], k).items()})
+                made.append((w[0], {p: a[0] for p, a in params.items()}, sw, summary))
+            if made:
+                fresh = _state_batch(b.column("key"), b.column("gamma").to_pylist(), made)
+                yield fresh.append_column("ll", b.column("ll"))
+
+    return run
+
+
+def _named(model: MixtureModel):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                parts = []
+                for r in b.to_pylist():
+                    params = _shaped(model.family, model._param, r["theta"], r["k"])
+                    parts.append((np.asarray(r["w"], float)[None], {p: a[None] for p, a in params.items()}))
+                yield pa.RecordBatch.from_arrays([b.column("key"), model.encode("mixtureModel", parts), b.column("ll")], names=["key", "mixtureModel", "loglikelihood"])
+
+    return run
 
 
 @declare(

@@ -13,6 +13,7 @@ import numpy as np
 from driftwell.kernels.linalg import gaussian_logpdf, outer
 
 Params = dict[str, np.ndarray]
+FLOOR = 1e-12  #: weight below which a component has vanished
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
@@ -69,7 +70,24 @@ def em_step(family: str, samples: np.ndarray, summary: tuple[np.ndarray, Params]
     return mix(summary[0], w), {k: mix(summary[1][k], new[k]) for k in new}
 
 
-def from_summary(summary: tuple[np.ndarray, Params]) -> tuple[np.ndarray, Params]:
-    """The model of a summary: parameters divided by the weights."""
+def from_summary(summary: tuple[np.ndarray, Params], before: Params | None = None) -> tuple[np.ndarray, Params]:
+    """The model of a summary: parameters divided by the weights. A component whose weight has vanished keeps those of ``before``."""
+    w = summary[0]
+    gone = ~(w > FLOOR)
+    made = scaled(summary[1], 1.0 / np.where(gone, 1.0, w))
+    if before is not None and gone.any():
+        made = {n: np.where(gone.reshape(gone.shape + (1,) * (a.ndim - gone.ndim)), before[n], a) for n, a in made.items()}
+    return w, made
+
+
+def expectations(family: str, samples: np.ndarray, weights: np.ndarray, params: Params, chained: bool = False) -> tuple[np.ndarray, Params, float]:
+    """Sums over the samples ``(n, ...)`` of one model's responsibilities and of its parameters' statistics, and their log-likelihood; sums of parts add up."""
+    joint = log_likelihoods(family, samples[None], {k: a[None] for k, a in params.items()})[0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        return summary[0], scaled(summary[1], 1.0 / summary[0])
+        joint = joint + np.log(weights)
+        resp = np.exp(joint - (_chained_log_sum if chained else _log_sum)(joint)[..., None])
+    total = float(_log_sum(joint).sum())
+    if family == "gaussian":
+        d = samples[:, None] - params["mean"][None]
+        return resp.sum(0), {"mean": resp.T @ samples, "cov": np.einsum("nk,nki,nkj->kij", resp, d, d)}, total
+    return resp.sum(0), {next(iter(params)): resp.T @ samples}, total
