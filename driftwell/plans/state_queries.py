@@ -124,6 +124,25 @@ LKF_TREND = f"""WITH RECURSIVE {ROWS}, f AS (SELECT DISTINCT user_id, 0::BIGINT
 SELECT user_id, n AS state_index, round(x1, 5) AS level, round(x2, 5) AS slope, round(a, 5) AS p11, round(b, 5) AS p12, round(c, 5) AS p22 FROM f WHERE n > 0"""
 
 
+def _pair(cls: type, **extra) -> Query:
+    """Two states and two measurements: the value, and half the level with the slope and the input u."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        e = _events(spark, d).withColumn("z2", F.array(F.col("value"), 0.5 * F.col("value") + F.get("u", F.lit(0))))
+        f = cls(**KEYED, measurementCol="z2", stateSize=2, initialStateCovariance=[[100.0, 0.0], [0.0, 100.0]], processModel=[[1.0, 1.0], [0.0, 1.0]], processNoise=[[0.2, 0.0], [0.0, 0.05]], measurementNoise=[[50.0, 0.0], [0.0, 20.0]], measurementModel=[[1.0, 0.0], [0.5, 1.0]], **extra)
+        return f.transform(e).select("user_id", F.col("stateIndex").alias("state_index"), *(F.round(F.get("state.mean", F.lit(i)), 4).alias(c) for i, c in ((0, "level"), (1, "slope"))), *(F.round(F.get("state.covariance.values", F.lit(i)), 4).alias(c) for i, c in ((0, "p11"), (2, "p12"), (3, "p22"))))
+
+    return query
+
+
+PAIR = f"""WITH RECURSIVE {ROWS}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 100.0::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c FROM r
+  UNION ALL SELECT user_id, n, x1 + k11 * d1 + k12 * d2, x2 + k21 * d1 + k22 * d2, a - k11 * a - k12 * h1, b - k11 * b - k12 * h2, c - k21 * b - k22 * h2
+  FROM (SELECT *, (a * s22 - h1 * h1) / det AS k11, (h1 * s11 - a * h1) / det AS k12, (b * s22 - h2 * h1) / det AS k21, (h2 * s11 - b * h1) / det AS k22
+    FROM (SELECT *, s11 * s22 - h1 * h1 AS det FROM (SELECT *, a + 50 AS s11, 0.5 * h1 + h2 + 20 AS s22, z - x1 AS d1, 0.5 * z + u - 0.5 * x1 - x2 AS d2
+      FROM (SELECT *, 0.5 * a + b AS h1, 0.5 * b + c AS h2 FROM (SELECT r.user_id, r.n, r.value AS z, r.u, f.x1 + f.x2 AS x1, f.x2, f.a + 2 * f.b + f.c + 0.2 AS a, f.b + f.c AS b, f.c + 0.05 AS c FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))))))
+SELECT user_id, n AS state_index, round(x1, 4) AS level, round(x2, 4) AS slope, round(a, 4) AS p11, round(b, 4) AS p12, round(c, 4) AS p22 FROM f WHERE n > 0"""
+
+
 def lkf_control_events(spark: SparkSession, d: str) -> DataFrame:
     """Control input u with gain 0.3."""
     e = _events(spark, d).withColumn("gain", F.array(F.array(F.lit(0.3))))
@@ -218,11 +237,26 @@ SELECT user_id, n AS state_index, round(w1, 6) AS w1, round(s1 / w1, 5) AS m1, r
 
 
 def poisson_minibatch_events(spark: SparkSession, d: str) -> DataFrame:
-    """Minibatches with decaying steps and a holdout; its check is the test suite."""
+    """Minibatches with decaying steps and a holdout."""
     m = E.PoissonMixture(**KEYED, sampleCol="count", initialRates=[10.0, 50.0, 90.0], decayRate=0.8, minibatchSize=10, updateHoldout=1)
     return _mixture(m.transform(_events(spark, d)), "rate")
 
 
+def _minibatch_sql(size: int = 10, decay: float = 0.8) -> str:
+    at = lambda k, w="w", a="a": f"(v * ln({a}{k}) - {a}{k} + ln({w}{k}))"
+    share = lambda k: "1.0 / (" + " + ".join(f"exp({at(j)} - {at(k)})" for j in (1, 2, 3)) + ")"
+    mean = lambda k, x: f"list_sum(list_transform(vs, lambda v: {share(k)} * {x})) / {size}"
+    ks = (1, 2, 3)
+    each = lambda form: ", ".join(form(k) for k in ks)
+    top = f"greatest({each(at)})"
+    return f"""WITH RECURSIVE {ROWS}, b AS (SELECT user_id, (n - 1) // {size} AS t, list(cnt::DOUBLE) AS vs FROM r GROUP BY 1, 2 HAVING count(*) = {size}),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS t, NULL::DOUBLE[] AS vs, {each(lambda k: f"(1.0 / 3)::DOUBLE AS w{k}")}, {each(lambda k: f"{(10.0, 50.0, 90.0)[k - 1]}::DOUBLE AS a{k}")}, {each(lambda k: f"(1.0 / 3)::DOUBLE AS sw{k}")}, {each(lambda k: f"({(10.0, 50.0, 90.0)[k - 1]} / 3)::DOUBLE AS ss{k}")} FROM b
+  UNION ALL SELECT user_id, t + 1, vs, {each(lambda k: f"CASE WHEN t < 1 THEN w{k} ELSE nw{k} END")}, {each(lambda k: f"CASE WHEN t < 1 THEN a{k} ELSE ns{k} / nw{k} END")}, {each(lambda k: f"nw{k}")}, {each(lambda k: f"ns{k}")}
+  FROM (SELECT *, {each(lambda k: f"(1 - g) * sw{k} + g * {mean(k, '1.0')} AS nw{k}")}, {each(lambda k: f"(1 - g) * ss{k} + g * {mean(k, 'v')} AS ns{k}")}
+    FROM (SELECT b.user_id, b.t, b.vs, f.* EXCLUDE (user_id, t, vs), pow(2.0 + b.t, -{decay}) AS g FROM f JOIN b ON b.user_id = f.user_id AND b.t = f.t)))
+SELECT user_id, t AS state_index, round(w1, 7) AS w1, round(a1, 7) AS a1, round(a2, 7) AS a2, round(list_sum(list_transform(vs, lambda v: {top} + ln({" + ".join(f"exp({at(k)} - {top})" for k in ks)}) - lgamma(v + 1))), 7) AS loglik FROM f WHERE t > 0"""
+
+
 def batch_em_events(spark: SparkSession, d: str) -> DataFrame:
     m = E.PoissonMixture(stateKeyCol="event_type", orderCol="event_id", sampleCol="count", initialRates=[20.0, 80.0], initialWeights=[0.5, 0.5], stepSize=1.0).setEnableBatchEM().setBatchTrainMaxIter(3).setBatchTrainTol(-1e12)
     out = m.transform(_events(spark, d))
@@ -312,7 +346,24 @@ def rls_sensors(spark: SparkSession, d: str) -> DataFrame:
     """Recursive least squares over all of rls_input."""
     f = E.RecursiveLeastSquaresFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", initialStateDistributionCol="initial_state", featureSize=3)
     out = f.transform(table(spark, d, "rls_input"))
-    return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), F.get("state.mean", F.lit(0)).alias("w0"))
+    return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), F.round(F.get("state.mean", F.lit(0)), 4).alias("w0"), F.round(F.get("state.mean", F.lit(2)), 4).alias("w2"))
+
+
+def _rls_sensors_sql() -> str:
+    """The recursion of ``rls_sensors`` with lists: three coefficients and a matrix by columns."""
+    p = lambda i, j: f"p[{1 + j * 3 + i}]"
+    pu = [" + ".join(f"{p(i, j)} * u[{j + 1}]" for j in range(3)) for i in range(3)]
+    up = [" + ".join(f"u[{i + 1}] * {p(i, j)}" for i in range(3)) for j in range(3)]
+    w = ", ".join(f"w[{i + 1}] + g[{i + 1}] * e" for i in range(3))
+    cov = ", ".join(f"{p(i, j)} - g[{i + 1}] * up[{j + 1}]" for j in range(3) for i in range(3))
+    eye = ", ".join("1e5" if i == j else "0.0" for j in range(3) for i in range(3))
+    return f"""WITH RECURSIVE a AS (SELECT *, coalesce(state_key, '') AS k, row_number() OVER (PARTITION BY state_key ORDER BY event_time NULLS FIRST, record_id) AS m FROM rls_input),
+r AS (SELECT k, state_key, event_time, label, features AS u, row_number() OVER (PARTITION BY k ORDER BY m) AS n FROM a WHERE label IS NOT NULL AND len(features) = 3),
+f AS (SELECT k, NULL::VARCHAR AS state_key, NULL::TIMESTAMP AS event_time, 0::BIGINT AS n, CASE WHEN len(initial_state.mean) = 3 THEN initial_state.mean ELSE [0.0, 0.0, 0.0]::DOUBLE[] END AS w, coalesce(initial_state.covariance.vals, [{eye}]::DOUBLE[]) AS p FROM a WHERE m = 1
+  UNION ALL SELECT k, state_key, event_time, n, [{w}], [{cov}]
+  FROM (SELECT *, [x / den FOR x IN pu] AS g, label - list_dot_product(u, w) AS e FROM (SELECT *, 1.0 + list_dot_product(u, pu) AS den FROM (SELECT *, [{", ".join(pu)}] AS pu, [{", ".join(up)}] AS up
+    FROM (SELECT r.*, f.w, f.p FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1)))))
+SELECT state_key, event_time, n AS state_index, round(w[1], 4) AS w0, round(w[3], 4) AS w2 FROM f WHERE n > 0"""
 
 
 def gmm_sensors(spark: SparkSession, d: str) -> DataFrame:
@@ -328,6 +379,11 @@ _ALL = {
     "rls_events": (rls_events, RLS),
     "lkf_events": (lkf_events, LKF),
     "lkf_trend_events": (lkf_trend_events, LKF_TREND),
+    "lkf_pair_events": (_pair(E.LinearKalmanFilter), PAIR),
+    "ekf_pair_events": (_pair(E.ExtendedKalmanFilter), PAIR),
+    "ukf_pair_events": (_pair(E.UnscentedKalmanFilter), PAIR),
+    "ukf_julier_pair_events": (_pair(E.UnscentedKalmanFilter, sigmaPoints="julier"), PAIR),
+    "ckf_pair_events": (_pair(E.CubatureKalmanFilter), PAIR),
     "lkf_control_events": (lkf_control_events, LKF_CONTROL),
     "ekf_events": (ekf_events, PLAIN),
     "ekf_log_events": (ekf_log_events, EKF_LOG),
@@ -340,14 +396,14 @@ _ALL = {
     "poisson_events": (poisson_events, POISSON),
     "bernoulli_events": (bernoulli_events, BERNOULLI),
     "gaussian_mixture_events": (gaussian_mixture_events, GAUSSIAN),
-    "poisson_minibatch_events": (poisson_minibatch_events, None),
+    "poisson_minibatch_events": (poisson_minibatch_events, _minibatch_sql()),
     "batch_em_events": (batch_em_events, _batch_em_sql(3)),
     "vector_functions": (vector_functions, VECTOR_FUNCTIONS),
     "vector_aggregate": (vector_aggregate, VECTOR_AGGREGATE),
     "matrix_functions": (matrix_functions, _matrix_sql()),
     "latest_state": (latest_state, LATEST_STATE),
     "lkf_sensors": (lkf_sensors, None),
-    "rls_sensors": (rls_sensors, None),
+    "rls_sensors": (rls_sensors, _rls_sensors_sql()),
     "gmm_sensors": (gmm_sensors, None),
 }
 QUERIES = {n: q for n, (q, _) in _ALL.items()}
