@@ -20,6 +20,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_spikes(spark, d).select("src", "rec_id")
 
 
+def p1_limits_and_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts that don't need a model: physical limits, stuck runs and faulty residuals."""
+    return p1_spikes(spark, d).where("limit_violation OR stuck").select("src", "rec_id", "limit_violation", "stuck")
+
+
+def _runs_sql(rows: str, order: str, value: str) -> str:
+    """``rows`` by key with ``held``: whether a reading (rows equal in ``order`` are one) is in a run of at least 10 equal values."""
+    return f"""SELECT * EXCLUDE (o, g), count(DISTINCT o) OVER (PARTITION BY state_key, g) >= 10 AS held FROM (
+      SELECT *, sum(n) OVER (PARTITION BY state_key ORDER BY o ROWS UNBOUNDED PRECEDING) AS g FROM (
+        SELECT *, CASE WHEN lag({value}) OVER (PARTITION BY state_key ORDER BY o) IS DISTINCT FROM {value} THEN 1 ELSE 0 END AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY state_key ORDER BY {order}) AS o FROM {rows})))"""
+
+
+P1_LIMITS_AND_RUNS = f"""
+WITH k AS (SELECT record_id, state_key, event_time, measurement AS v, low_limit AS lo, high_limit AS hi FROM kalman_input LEFT JOIN sensor_kinds ON kind = split_part(state_key, '/', 2)
+    WHERE state_key IS NOT NULL AND event_time IS NOT NULL AND len(measurement) > 0),
+  kr AS ({_runs_sql("k", "event_time, v", "v")}),
+  kb AS (SELECT *, list_bool_or([x IS NULL OR NOT isfinite(x) OR coalesce(x < lo, FALSE) OR coalesce(x > hi, FALSE) FOR x IN v]) AS bad FROM kr),
+  o AS (SELECT output_id, state_key, state_index, step_index, residual.mean AS v, residual.covariance.vals AS c FROM kalman_output WHERE len(residual.mean) > 0),
+  os AS (SELECT * FROM o WHERE state_key IS NOT NULL AND state_index IS NOT NULL), r AS ({_runs_sql("os", "state_index, step_index, v", "v")} UNION ALL SELECT *, NULL, FALSE FROM o WHERE state_key IS NULL OR state_index IS NULL),
+  b AS (SELECT *, list_bool_or([coalesce(NOT isfinite(v[i]), TRUE) OR coalesce(isnan(c[(i - 1) * (len(v) + 1) + 1]) OR c[(i - 1) * (len(v) + 1) + 1] <= 0, TRUE) OR coalesce(abs(v[i]) >= 6 * sqrt(greatest(c[(i - 1) * (len(v) + 1) + 1], 0)), FALSE) FOR i IN range(1, len(v) + 1)]) AS bad FROM r)
+SELECT 'kalman_input' AS src, record_id AS rec_id, bad AS limit_violation, held AS stuck FROM kb WHERE bad OR held
+UNION ALL SELECT 'kalman_output', output_id, bad, held FROM b WHERE bad OR held
+"""
+
+
 def _objects(spark: SparkSession, d: str, *leaves: str) -> DataFrame:
     ko = shred.nested_objects(table(spark, d, "kalman_output"), "kalman_output", "output_id", state="state", residual="residual", leaves=leaves)
     go = shred.nested_objects(table(spark, d, "gaussian_mixture_output"), "gaussian_mixture_output", "output_id", mixture="mixture_model", leaves=leaves)
@@ -250,5 +275,5 @@ SELECT src, state_key, entry, p AS period_epoch, as_of AS as_of_batch, count(*)
 FROM x JOIN b USING (src, state_key, entry, p) WHERE x.b <= as_of GROUP BY 1, 2, 3, 4, 5
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p2_found, p2_objects, p2_components, p3_found, p3_key_results, p3_kind_results, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
-SQL = {"p2_found": P2_FOUND, "p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_results": P3_KEY_RESULTS, "p3_kind_results": P3_KIND_RESULTS, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spikes, p1_limits_and_runs, p2_found, p2_objects, p2_components, p3_found, p3_key_results, p3_kind_results, p3_key_join, p4_found, p4_grid, p5_found, p5_period_stats, p5_versions)}
+SQL = {"p1_limits_and_runs": P1_LIMITS_AND_RUNS, "p2_found": P2_FOUND, "p2_components": P2_COMPONENTS, "p3_found": P3_FOUND, "p3_key_results": P3_KEY_RESULTS, "p3_kind_results": P3_KIND_RESULTS, "p3_key_join": P3_KEY_JOIN, "p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_period_stats": P5_PERIOD_STATS, "p5_versions": P5_VERSIONS}
