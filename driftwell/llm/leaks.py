@@ -30,7 +30,8 @@ PIECE = 10  #: letters of a piece; one starts at every letter of a passage
 LETTERS = 14  #: letters that pieces in line must cover for a passage to be followed
 BLOCK_BYTES = 1_000_000  #: wording in one automaton (some 200 bytes of memory a letter); more is searched in several passes
 NEAR, SPAN = 125, 250  #: words of the text up to which a jump is judged by its cost alone, or by cost if what follows is FIRM; beyond, both sides must be SURE
-START, FIRM, SURE = 1e-2, 1e-5, 1e-9  #: copies of a stretch expected by chance in the whole text, for following it, for looking around it and for joining it over any distance
+#: Copies of a stretch expected by chance in the whole text: for following it, where half of the least run must be rarer, for looking around it and for joining it over any distance.
+START, RARE, FIRM, SURE = 1e-2, 1e-3, 1e-5, 1e-9
 EDGE, JUMP = 0.75, 2.25  #: cost in words of a jump between line parts, and of one elsewhere
 WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"[-¬‐­]\s*$")
@@ -196,7 +197,7 @@ class Passages:
         return out
 
     def _exact(self, likely: np.ndarray, toks: list[str], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """The passages of which two thirds of the least run stand in stretches of exact words that are hardly chance, and the (passage word, text word) of these.
+        """The passages of which two thirds of the least run stand in stretches of exact words that are hardly chance, half of it in rarer ones, and the (passage word, text word) of these.
 
         Such a stretch has words side by side or one apart, at the same distance between passage and text.
         """
@@ -234,17 +235,23 @@ class Passages:
         j = line % (2 * n + len(joined)) - len(joined) + w - begin[owner[w]]
         start = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (w[1:] - w[:-1] > 2)])
         ends = np.r_[start[1:], len(w)]
-        rare = np.add.reduceat(chance[joined[w] + 1], start) < np.log(START / n)
-        change = np.zeros(len(joined) + 1, np.int64)
-        np.add.at(change, w[start[rare]], 1)
-        np.add.at(change, w[ends[rare] - 1] + 1, -1)
-        upto = np.r_[0, np.cumsum(np.cumsum(change)[:-1] > 0)]
+        expected = np.add.reduceat(chance[joined[w] + 1], start) + np.log(n)
         last = np.minimum(np.arange(len(joined)) + least, begin[owner + 1])
-        most = np.maximum.reduceat(upto[last] - upto[:-1], begin[:-1])
-        keep = np.repeat(rare, ends - start) & (most >= least * 2 // 3)[owner[w]]
+
+        def most(chosen: np.ndarray) -> np.ndarray:
+            """The most of ``least`` successive words of each passage that stand in the chosen stretches."""
+            change = np.zeros(len(joined) + 1, np.int64)
+            np.add.at(change, w[start[chosen]], 1)
+            np.add.at(change, w[ends[chosen] - 1] + 1, -1)
+            upto = np.r_[0, np.cumsum(np.cumsum(change)[:-1] > 0)]
+            return np.maximum.reduceat(upto[last] - upto[:-1], begin[:-1])
+
+        rare = expected < np.log(START)
+        enough = (most(rare) >= least * 2 // 3) & (most(expected < np.log(RARE)) >= least // 2)
+        keep = np.repeat(rare, ends - start) & enough[owner[w]]
         w, j = w[keep], j[keep]
         cuts = np.searchsorted(owner[w], np.arange(len(held) + 1))
-        for c in np.flatnonzero(most >= least * 2 // 3).tolist():
+        for c in np.flatnonzero(enough).tolist():
             a, z = cuts[c], cuts[c + 1]
             yield int(likely[c]), list(zip((w[a:z] - begin[c]).tolist(), j[a:z].tolist(), strict=True))
 
