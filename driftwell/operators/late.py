@@ -45,17 +45,22 @@ def _marked(seen: DataFrame, key: str, tie: str, cutoff_s: int) -> DataFrame:
     return seen.withColumn("is_late", F.coalesce(behind > cutoff_s * 1_000_000, F.lit(False))).withColumn("out_of_order", F.coalesce(behind > 0, F.lit(False))).drop("_before", "_top", "_low")
 
 
-def with_frontier(rows: DataFrame, *, key: str = "state_key", time: str = "event_time", arrival: str = "arrival_time", tie: str = "record_id", cutoff_s: int = 7200, bucket_us: int = HOUR) -> DataFrame:
+def with_frontier(rows: DataFrame, *, key: str = "state_key", time: str = "event_time", arrival: str = "arrival_time", tie: str = "record_id", cutoff_s: int = 7200, bucket_us: int = HOUR, start: DataFrame | None = None) -> DataFrame:
     """Rows with key and event time, plus ``_event`` and ``_at`` (event and arrival in microseconds), ``_arrived`` (bucket of the arrival),
     ``frontier`` (greatest event time of the key among rows that arrived earlier), ``is_late`` (more than
     ``cutoff_s`` behind it) and ``out_of_order`` (behind it at all).
 
     Arrival order is (``arrival``, ``tie``); rows without arrival time come first. Up to a row's arrival bucket the frontier is
     an extreme of the counts of event times; within the bucket rows are looked at one by one. A hot key is so cut by time,
-    and what is sorted per key is one number per bucket. Other columns pass through.
+    and what is sorted per key is one number per bucket. Other columns pass through. ``start`` has the greatest event time of each
+    key before these rows, ``(key, top)`` in microseconds.
     """
     timed = _timed(rows, key, time, arrival, tie, bucket_us)
-    return _marked(timed.join(_extremes(arrivals(timed, key), key), [key, "_arrived"]), key, tie, cutoff_s)
+    extremes = _extremes(arrivals(timed, key), key)
+    if start is not None:
+        held = start.select(F.col(key).alias("_held"), F.col("top").alias("_start"))
+        extremes = extremes.join(held, F.col(key) == F.col("_held"), "left").withColumn("_before", F.greatest("_before", "_start")).drop("_held", "_start")
+    return _marked(timed.join(extremes, [key, "_arrived"]), key, tie, cutoff_s)
 
 
 def left_out(rows: DataFrame, *, key: str = "state_key", time: str = "event_time", arrival: str = "arrival_time", tie: str = "record_id", cutoff_s: int = 7200, bucket_us: int = HOUR) -> DataFrame:
