@@ -17,6 +17,20 @@ def rate_readings(spark: SparkSession, keys: int = 10, rows_per_second: int = 10
     return rate.select((F.col("value") % keys).cast("string").alias("stateKey"), "timestamp", F.array(value).alias("measurement"))
 
 
+def rate_regressions(spark: SparkSession, keys: int = 10, rows_per_second: int = 10, link: str = "identity") -> DataFrame:
+    """A stream of regressions for load tests: ``stateKey, timestamp, label, features, measurement, measurementModel``.
+
+    The linear predictor of features ``[x, sqrt(x), 1]`` has the coefficients 0.5, -0.7 and 2, and noise; ``link`` (``identity``, ``log``, ``logit``) makes the label of it.
+    """
+    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    x = (F.col("value") / keys % 40).cast("double")
+    eta = 0.5 * x - 0.7 * F.sqrt(x) + 2.0
+    scaled = {"identity": eta, "log": F.exp(eta / 10), "logit": 1 / (1 + F.exp(-(eta - 6) / 3))}[link]
+    features = F.array(x, F.sqrt(x), F.lit(1.0))
+    label = scaled + F.randn() * (0.01 if link == "logit" else 0.1)
+    return rate.select((F.col("value") % keys).cast("string").alias("stateKey"), "timestamp", label.alias("label"), features.alias("features"), F.array(label).alias("measurement"), F.array(features).alias("measurementModel"))
+
+
 def folder_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files that appear in a folder, oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
