@@ -337,9 +337,28 @@ LATEST_STATE = "SELECT user_id, round(sum(value), 4) AS loglik, max(event_id) AS
 
 def lkf_sensors(spark: SparkSession, d: str) -> DataFrame:
     """The linear filter over all of kalman_input, with each row's optional models."""
-    f = E.LinearKalmanFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", stateSize=2, initialStateDistributionCol="initial_state", measurementModelCol="measurement_model", measurementNoiseCol="measurement_noise", processModelCol="process_model", processNoiseCol="process_noise", controlCol="control", controlFunctionCol="control_function", processNoise=[[0.01, 0.0], [0.0, 0.001]], calculateSlidingLikelihood=True)
+    f = E.LinearKalmanFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", stateSize=2, initialStateDistributionCol="initial_state", measurementModelCol="measurement_model", measurementNoiseCol="measurement_noise", processModelCol="process_model", processNoiseCol="process_noise", controlCol="control", controlFunctionCol="control_function", processNoise=[[0.01, 0.0], [0.0, 0.001]])
     out = f.transform(table(spark, d, "kalman_input"))
-    return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), F.get("state.mean", F.lit(0)).alias("level"), "slidingLikelihood")
+    # Faulty readings make states of 30 digits; of those the order of magnitude is given.
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.when(F.abs(c) < 1e9, F.round(c, 4)).otherwise(F.round(F.log10(F.abs(c)), 4)))
+    return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), finite(F.get("state.mean", F.lit(0))).alias("level"), finite(F.get("state.mean", F.lit(1))).alias("slope"), finite(F.get("state.covariance.values", F.lit(0))).alias("p11"))
+
+
+#: A key has one or two entries per measurement; with two, models of a single row don't fit and the defaults are used.
+LKF_SENSORS = """
+WITH RECURSIVE o AS (SELECT *, coalesce(state_key, '') AS k, row_number() OVER (PARTITION BY state_key ORDER BY event_time NULLS FIRST, record_id) AS n, max(len(measurement)) OVER (PARTITION BY state_key) AS m FROM kalman_input),
+r AS (SELECT k, state_key, event_time, n, m, CASE WHEN len(measurement) = m AND m > 0 AND NOT list_bool_or([x IS NULL OR isnan(x) FOR x IN measurement]) THEN measurement END AS z, coalesce(process_model.vals, [1.0, 0.0, 0.0, 1.0]::DOUBLE[]) AS f,
+    coalesce(process_noise.vals, [0.01, 0.0, 0.0, 0.001]::DOUBLE[]) AS q, coalesce(measurement_model.vals, [1.0, 0.0]::DOUBLE[]) AS h, coalesce(measurement_noise.vals[1], 1.0) AS e,
+    CASE WHEN len(control) = 1 AND len(control_function.vals) = 2 THEN control_function.vals[1] * control[1] ELSE 0.0 END AS u1, CASE WHEN len(control) = 1 AND len(control_function.vals) = 2 THEN control_function.vals[2] * control[1] ELSE 0.0 END AS u2 FROM o),
+s AS (SELECT k, NULL::VARCHAR AS state_key, NULL::TIMESTAMP AS event_time, 0::BIGINT AS n, coalesce(initial_state.mean[1], 0.0) AS x, coalesce(initial_state.mean[2], 0.0) AS y, coalesce(initial_state.covariance.vals[1], 1.0) AS a, coalesce(initial_state.covariance.vals[3], 0.0) AS b, coalesce(initial_state.covariance.vals[4], 1.0) AS c FROM o WHERE n = 1
+  UNION ALL SELECT k, state_key, event_time, n, CASE WHEN z IS NULL THEN x WHEN m = 1 THEN x + g1 * d ELSE x + k11 * (z[1] - x) + k12 * (z[2] - y) END, CASE WHEN z IS NULL THEN y WHEN m = 1 THEN y + g2 * d ELSE y + k12 * (z[1] - x) + k22 * (z[2] - y) END,
+    CASE WHEN z IS NULL THEN a WHEN m = 1 THEN a - g1 * v1 ELSE a - k11 * a - k12 * b END, CASE WHEN z IS NULL THEN b WHEN m = 1 THEN b - g1 * v2 ELSE b - k11 * b - k12 * c END, CASE WHEN z IS NULL THEN c WHEN m = 1 THEN c - g2 * v2 ELSE c - k12 * b - k22 * c END
+  FROM (SELECT *, v1 / (h[1] * v1 + h[2] * v2 + e) AS g1, v2 / (h[1] * v1 + h[2] * v2 + e) AS g2, z[1] - h[1] * x - h[2] * y AS d, (a * (c + 1) - b * b) / det AS k11, b / det AS k12, (c * (a + 1) - b * b) / det AS k22
+    FROM (SELECT *, h[1] * a + h[2] * b AS v1, h[1] * b + h[2] * c AS v2, (a + 1) * (c + 1) - b * b AS det
+      FROM (SELECT r.*, r.f[1] * s.x + r.f[3] * s.y + r.u1 AS x, r.f[2] * s.x + r.f[4] * s.y + r.u2 AS y, (r.f[1] * s.a + r.f[3] * s.b) * r.f[1] + (r.f[1] * s.b + r.f[3] * s.c) * r.f[3] + r.q[1] AS a,
+          (r.f[1] * s.a + r.f[3] * s.b) * r.f[2] + (r.f[1] * s.b + r.f[3] * s.c) * r.f[4] + r.q[3] AS b, (r.f[2] * s.a + r.f[4] * s.b) * r.f[2] + (r.f[2] * s.b + r.f[4] * s.c) * r.f[4] + r.q[4] AS c FROM s JOIN r ON r.k = s.k AND r.n = s.n + 1))))
+SELECT state_key, event_time, n AS state_index, CASE WHEN NOT isfinite(x) THEN NULL WHEN abs(x) < 1e9 THEN round(x, 4) ELSE round(log10(abs(x)), 4) END AS level, CASE WHEN NOT isfinite(y) THEN NULL WHEN abs(y) < 1e9 THEN round(y, 4) ELSE round(log10(abs(y)), 4) END AS slope, CASE WHEN NOT isfinite(a) THEN NULL WHEN abs(a) < 1e9 THEN round(a, 4) ELSE round(log10(abs(a)), 4) END AS p11 FROM s WHERE n > 0
+"""
 
 
 def rls_sensors(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +421,7 @@ _ALL = {
     "vector_aggregate": (vector_aggregate, VECTOR_AGGREGATE),
     "matrix_functions": (matrix_functions, _matrix_sql()),
     "latest_state": (latest_state, LATEST_STATE),
-    "lkf_sensors": (lkf_sensors, None),
+    "lkf_sensors": (lkf_sensors, LKF_SENSORS),
     "rls_sensors": (rls_sensors, _rls_sensors_sql()),
     "gmm_sensors": (gmm_sensors, None),
 }
