@@ -203,12 +203,14 @@ class Passages:
         """
         n, size = len(toks), len(self.ids) + 1
         text = np.array([self.ids.get(t, -1) for t in toks], np.int64)
-        chance = np.log(np.maximum(np.bincount(text + 1, minlength=size), 1) / n)
+        count = np.bincount(text + 1, minlength=size + 1)[1:]
         held = [self.coded[p] for p in likely.tolist()]
         sizes = np.array([len(h) for h in held])
         begin = np.r_[0, np.cumsum(sizes)]
         joined = np.concatenate(held)
         owner = np.repeat(np.arange(len(held)), sizes)
+        there = count[joined] > 0
+        chance = np.log(np.maximum(count[joined], 1) / n)
         rows = []
         for d in (1, 2):
             if n <= d:
@@ -217,7 +219,7 @@ class Passages:
             codes = text[first] * size + text[first + d]
             order = np.argsort(codes, kind="stable")
             codes, first = codes[order], first[order]
-            at = np.flatnonzero(owner[:-d] == owner[d:]) if len(joined) > d else np.zeros(0, np.int64)
+            at = np.flatnonzero((owner[:-d] == owner[d:]) & there[:-d] & there[d:]) if len(joined) > d else np.zeros(0, np.int64)
             wanted = joined[at] * size + joined[at + d]
             lo = np.searchsorted(codes, wanted, "left")
             many = np.searchsorted(codes, wanted, "right") - lo
@@ -235,7 +237,7 @@ class Passages:
         j = line % (2 * n + len(joined)) - len(joined) + w - begin[owner[w]]
         start = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (w[1:] - w[:-1] > 2)])
         ends = np.r_[start[1:], len(w)]
-        expected = np.add.reduceat(chance[joined[w] + 1], start) + np.log(n)
+        expected = np.add.reduceat(chance[w], start) + np.log(n)
         last = np.minimum(np.arange(len(joined)) + least, begin[owner + 1])
 
         def most(chosen: np.ndarray) -> np.ndarray:
