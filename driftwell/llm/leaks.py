@@ -41,6 +41,9 @@ ALIKE = "ce co eo ao an nu un il ij i1 l1 lt tf s5 sf bh b6 b8 o0 rv ri g9 gq é
 #: Letter groups read as one letter (fixed values).
 GROUPS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ri", "n"), ("ii", "u"), ("fi", "h"), ("iu", "m"))
 _GROUPED = {(one, many) for many, one in GROUPS}
+_TAKEN: dict[str, set[str]] = defaultdict(set)
+for _a, _b in ((p[i], p[1 - i]) for p in ALIKE.split() for i in (0, 1)):
+    _TAKEN[_a].add(_b)
 _CHEAP = {(p[0], p[1]) for p in ALIKE.split()} | {(p[1], p[0]) for p in ALIKE.split()}
 
 
@@ -63,11 +66,23 @@ def alike(a: str, b: str) -> bool:
     return a == b or (0.4 * abs(len(a) - len(b)) <= 0.34 * len(a) + 0.07 and _near(a, b))
 
 
+def _costs_more(a: str, b: str, room: float) -> bool:
+    """Whether the letters of ``a`` that ``b`` lacks cost more than ``room``, letter groups aside: 0.4 each at least where a letter that they are taken for is there, else 1."""
+    total, there = 0.0, {*b}
+    for x in {*a}:
+        lacking = a.count(x) - b.count(x)
+        if lacking > 0:
+            total += lacking if there.isdisjoint(_TAKEN[x]) else 0.4 * lacking
+    return total > room + 1e-9
+
+
 @lru_cache(1_000_000)
 def _near(a: str, b: str) -> bool:
     room = 0.34 * len(a) + 0.07
     if len({*a} - {*b}) > 2 * room + 1:  # a letter that isn't there costs 0.4 at least
         return False
+    if not any((many in a and one in b) or (many in b and one in a) for many, one in GROUPS) and (_costs_more(a, b, room) or _costs_more(b, a, room)):
+        return False
     old: list[float] = []
     row: list[float] = list(range(len(b) + 1))
     before = ""
