@@ -21,7 +21,7 @@ from math import prod
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.workers import once_per_process
@@ -444,12 +444,12 @@ class _Follow:
 FOUND = "_whole boolean, _hash bigint, run_words int, first_char int, last_char int"
 
 
-def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", whole: tuple[str, ...] = (), least: int = 18, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", whole: tuple[str, ...] = (), beside: tuple[str, ...] = (), least: int = 18, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, field, run_words, first_char, last_char)``: the documents and the fields of items that stand in them.
 
     A passage counts if at least ``least`` of its successive words stand in the text; ``run_words`` is the longest
     run's length. The strings in the columns ``whole`` (questions, answers) count if they stand in the text in full, word for word, once
-    per place. ``first_char``, ``last_char`` are places in the original text (from 0, end exclusive). All items with the same passage or
+    per place; those in ``beside`` (short answers, which stand in many texts anyway) only where another field of the item is found in the same document. ``first_char``, ``last_char`` are places in the original text (from 0, end exclusive). All items with the same passage or
     string are reported. Null and empty texts and strings, and passages shorter than ``least`` words,
     match nothing; rows repeated in either table match each. Rows with null ids are kept as such.
 
@@ -488,4 +488,8 @@ def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str
     for p in parts[1:]:
         out = out.unionByName(p)
     joined = out.join(known, (F.col("_hash") == F.col("_h")) & (F.col("_whole") == F.col("_w")))
-    return joined.select("doc_id", "item_id", "field", "run_words", "first_char", "last_char")
+    found = joined.select("doc_id", "item_id", "field", "run_words", "first_char", "last_char")
+    if not beside:
+        return found
+    other = F.max(~F.col("field").isin(*beside)).over(Window.partitionBy("doc_id", "item_id"))
+    return found.withColumn("_other", other).where("_other").drop("_other")

@@ -80,8 +80,8 @@ FROM (SELECT coalesce(octet_length(encode(text)), 0) AS n FROM documents), pack_
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages, questions and answers that leaked, with their places in the text."""
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), whole=("question", "answer"))
+    """Passages and questions that leaked, and answers beside them, with their places in the text."""
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), whole=("question", "answer"), beside=("answer",))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -149,7 +149,8 @@ def test_recall_of_the_least_run_with_misread_letters(passages, every):
 def test_questions_answers_and_places_in_the_original_text(spark):
     items = spark.createDataFrame([(1, PASSAGES[0], "Which straße was\nlong?", "İzmir"), (2, None, "Which straße was long", None)], "item_id int, passage string, question string, answer string")
     text = f"{'İ ß ' * 40}{part(0, 20)} ... WHICH Stras-\nse was-long! In izmir, not izmirs. {'ß' * 30}"
-    docs = spark.createDataFrame([(1, text), (2, "which strasse was longer"), (3, None)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.field, text[r.first_char : r.last_char]) for r in find(docs, items, whole=("question", "answer")).collect())
+    docs = spark.createDataFrame([(1, text), (2, "which strasse was longer"), (3, None), (4, "izmir alone")], "doc_id long, text string")
+    assert {r.doc_id for r in find(docs, items, whole=("question", "answer")).collect()} == {1, 4}
+    got = sorted((r.doc_id, r.item_id, r.field, text[r.first_char : r.last_char]) for r in find(docs, items, whole=("question", "answer"), beside=("answer",)).collect())
     assert [g[:3] for g in got] == [(1, 1, "answer"), (1, 1, "passage"), (1, 1, "question"), (1, 2, "question")]
     assert got[0][3] == "izmir" and part(0, 20) in got[1][3] and got[2][3] == "WHICH Stras-\nse was-long"
