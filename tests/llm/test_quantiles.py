@@ -57,3 +57,10 @@ def test_no_rows(df):
     assert quantiles.percentiles(df.limit(0), "v", PROBS).count() == 0
     assert quantiles.percentiles(df.withColumn("v", F.lit(None).cast("double")), "v", PROBS).count() == 0
     assert quantiles.percentiles(df, "v", []).count() == 0
+
+
+def test_more_ranges_than_are_broadcast(df, monkeypatch):
+    want = sorted(map(str, quantiles.percentiles(df, "v", PROBS, small=64).collect()))
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    monkeypatch.setattr(quantiles, "SHRINK", 1)
+    assert sorted(map(str, quantiles.percentiles(df, "v", PROBS, small=64).collect())) == want
