@@ -481,3 +481,37 @@ def test_decompositions_by_either_method(spark):
         spark.conf.unset("spark.driftwell.linalg.svdMethod")
     assert np.allclose([s.mean for s in plain], [s.mean for s in other])
     assert hasattr(f, "setSigmaPointLowerBound") and hasattr(f, "setSigmaPointUpperBound")
+
+
+def test_batch_em_of_many_models_and_long_sums(spark, monkeypatch):
+    from driftwell.estimators import MultivariateGaussianMixture, mixture
+
+    rng = np.random.default_rng(21)
+    rows = [(f"k{i % 3}" if i % 11 else None, i, rng.normal((i % 2) * 4, 1, 2).tolist() if i % 13 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, sample array<double>").repartition(3)
+    em = lambda: MultivariateGaussianMixture(stateKeyCol="k", orderCol="i", initialMeans=[[0.0, 1.0], [3.0, 2.0]], stepSize=1.0).setEnableBatchEM().setBatchTrainMaxIter(6)
+    plain = {r.k: r for r in em().transform(df).collect()}
+    monkeypatch.setattr(mixture, "FEW", 0)
+    monkeypatch.setattr(mixture, "WIDE", 1)
+    other = {r.k: r for r in em().transform(df).collect()}
+    assert set(plain) == set(other) == {"k0", "k1", "k2"}
+    for k, r in plain.items():
+        a, b = r.mixtureModel, other[k].mixtureModel
+        assert np.allclose(a.weights, b.weights) and all(np.allclose(x.mean, y.mean) and np.allclose(x.covariance["values"], y.covariance["values"]) for x, y in zip(a.distributions, b.distributions, strict=True))
+        x = np.array([s for kk, _, s in rows if kk == k and s is not None])
+        w, m, c = np.full(2, 0.5), np.array([[0.0, 1.0], [3.0, 2.0]]), np.array([np.eye(2)] * 2)
+        for _ in range(6):
+            joint = np.stack([np.log(w[j]) - 0.5 * (np.log(np.linalg.det(c[j])) + np.einsum("ni,ij,nj->n", x - m[j], np.linalg.inv(c[j]), x - m[j])) for j in (0, 1)], 1)
+            g = np.exp(joint - np.logaddexp(joint[:, :1], joint[:, 1:]))
+            old, w, m = m, g.mean(0), (g.T @ x) / g.sum(0)[:, None]
+            c = np.array([np.einsum("n,ni,nj->ij", g[:, j], x - old[j], x - old[j]) / g[:, j].sum() for j in (0, 1)])
+        assert np.allclose(sorted(a.weights), sorted(w), atol=0.05) and np.allclose([d.mean for d in a.distributions], m, atol=0.2)
+    assert em().transform(df.limit(0)).count() == 0
+
+
+def test_a_vanished_component_keeps_its_parameters():
+    from driftwell.kernels import mixture as em
+
+    summary = (np.array([[1.0, 0.0]]), {"rate": np.array([[5.0, 0.0]])})
+    w, params = em.from_summary(summary, {"rate": np.array([[4.0, 9.0]])})
+    assert w.tolist() == [[1.0, 0.0]] and params["rate"].tolist() == [[5.0, 9.0]]

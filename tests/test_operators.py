@@ -92,6 +92,16 @@ def test_chunks_share_the_noise_of_their_source(spark, limits):
     assert sets[0] == sets[1] == sets[2] and min(sets[0]) >= 600
 
 
+def test_more_models_than_are_broadcast(spark, limits, monkeypatch):
+    from driftwell.operators import spikes as module
+
+    rng = np.random.default_rng(14)
+    rows = [r for k in range(5) for r in series(f"s/temp/{k}", [[float(x)] for x in rng.normal(0, 1, 60) + 30 * (np.arange(60) == 20 + k)], first=100 * k)]
+    df = spark.createDataFrame(rows, READING)
+    monkeypatch.setattr(module, "FEW", 0)
+    assert set(found(spikes(df, limits))) == {100 * k + 20 + k for k in range(5)}
+
+
 def test_statistics_of_parts_add_up_to_those_of_the_whole():
     y = np.cumsum(np.random.default_rng(6).normal(0, 1, 500).round(1))
     whole = outliers.statistics(y, np.ones(500, bool))
