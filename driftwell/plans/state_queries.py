@@ -340,7 +340,7 @@ def lkf_sensors(spark: SparkSession, d: str) -> DataFrame:
     f = E.LinearKalmanFilter(stateKeyCol="state_key", eventTimeCol="event_time", orderCol="record_id", stateSize=2, initialStateDistributionCol="initial_state", measurementModelCol="measurement_model", measurementNoiseCol="measurement_noise", processModelCol="process_model", processNoiseCol="process_noise", controlCol="control", controlFunctionCol="control_function", processNoise=[[0.01, 0.0], [0.0, 0.001]])
     out = f.transform(table(spark, d, "kalman_input"))
     # Faulty readings make states of 30 digits; of those the order of magnitude is given.
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.when(F.abs(c) < 1e9, F.round(c, 4)).otherwise(F.round(F.log10(F.abs(c)), 4)))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.when(F.abs(c) < 1e4, F.round(c, 6)).otherwise(F.round(F.log10(F.abs(c)), 6)))
     return out.select("state_key", "event_time", F.col("stateIndex").alias("state_index"), finite(F.get("state.mean", F.lit(0))).alias("level"), finite(F.get("state.mean", F.lit(1))).alias("slope"), finite(F.get("state.covariance.values", F.lit(0))).alias("p11"))
 
 
@@ -357,7 +357,7 @@ s AS (SELECT k, NULL::VARCHAR AS state_key, NULL::TIMESTAMP AS event_time, 0::BI
     FROM (SELECT *, h[1] * a + h[2] * b AS v1, h[1] * b + h[2] * c AS v2, (a + 1) * (c + 1) - b * b AS det
       FROM (SELECT r.*, r.f[1] * s.x + r.f[3] * s.y + r.u1 AS x, r.f[2] * s.x + r.f[4] * s.y + r.u2 AS y, (r.f[1] * s.a + r.f[3] * s.b) * r.f[1] + (r.f[1] * s.b + r.f[3] * s.c) * r.f[3] + r.q[1] AS a,
           (r.f[1] * s.a + r.f[3] * s.b) * r.f[2] + (r.f[1] * s.b + r.f[3] * s.c) * r.f[4] + r.q[3] AS b, (r.f[2] * s.a + r.f[4] * s.b) * r.f[2] + (r.f[2] * s.b + r.f[4] * s.c) * r.f[4] + r.q[4] AS c FROM s JOIN r ON r.k = s.k AND r.n = s.n + 1))))
-SELECT state_key, event_time, n AS state_index, CASE WHEN NOT isfinite(x) THEN NULL WHEN abs(x) < 1e9 THEN round(x, 4) ELSE round(log10(abs(x)), 4) END AS level, CASE WHEN NOT isfinite(y) THEN NULL WHEN abs(y) < 1e9 THEN round(y, 4) ELSE round(log10(abs(y)), 4) END AS slope, CASE WHEN NOT isfinite(a) THEN NULL WHEN abs(a) < 1e9 THEN round(a, 4) ELSE round(log10(abs(a)), 4) END AS p11 FROM s WHERE n > 0
+SELECT state_key, event_time, n AS state_index, CASE WHEN NOT isfinite(x) THEN NULL WHEN abs(x) < 1e4 THEN round(x, 6) ELSE round(log10(abs(x)), 6) END AS level, CASE WHEN NOT isfinite(y) THEN NULL WHEN abs(y) < 1e4 THEN round(y, 6) ELSE round(log10(abs(y)), 6) END AS slope, CASE WHEN NOT isfinite(a) THEN NULL WHEN abs(a) < 1e4 THEN round(a, 6) ELSE round(log10(abs(a)), 6) END AS p11 FROM s WHERE n > 0
 """
 
 
