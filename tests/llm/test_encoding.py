@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from driftwell.llm.encoding import garble, repair
+from driftwell.llm.encoding import garble, repair, train
 
 RNG = random.Random(5)
 STEMS = {"de": ["für", "größe", "straße", "mädchen", "schön", "über", "haus", "kirche", "der", "und", "müde", "prüfte"], "fr": ["été", "forêt", "après", "château", "élève", "où", "maître", "le", "et", "reçu", "côté"], "pl": ["święto", "żądał", "łąka", "ręka", "ćma", "wóz", "dzień", "jest", "źródło"], "ru": ["старый", "новый", "город", "вокзал", "этот", "между", "один", "после"], "en": ["the", "old", "harbour", "of", "market", "opened", "without", "£20", "delay"]}
@@ -65,3 +65,13 @@ def test_empty_and_undamaged_tables(spark, corpus):
 
 def test_garble():
     assert garble("é", "utf-8", "cp1252") == "Ã©" and garble("ü", "cp1252", "mac_roman") == "¸"
+
+
+def test_margin_is_validated_on_all_records(spark):
+    """A word that only seems damaged, in a record that is not among the 600 least by hash: it must raise the margin."""
+    clean = [(page(("de", "fr", "pl", "ru", "en")[i % 5], 24),) for i in range(900)]
+    seeming = [(page("de", 24) + " вz",) for _ in range(40)]
+    rare = spark.createDataFrame(seeming, "text string").where("xxhash64(text) > 1L << 62").limit(1)
+    df = spark.createDataFrame(clean, "text string").unionByName(rare).localCheckpoint()
+    margin = train(df)[0].margin
+    assert margin == train(df, validation=10_000)[0].margin > train(df, validation=600)[0].margin
