@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from driftwell.llm.leaks import ALIKE, Passages, alike, find, words
+from driftwell.llm.leaks import ALIKE, GROUPS, Passages, alike, find, words
 
 RNG = random.Random(3)
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
@@ -154,3 +154,30 @@ def test_questions_answers_and_places_in_the_original_text(spark):
     got = sorted((r.doc_id, r.item_id, r.field, text[r.first_char : r.last_char]) for r in find(docs, items, whole=("question", "answer"), beside=("answer",)).collect())
     assert [g[:3] for g in got] == [(1, 1, "answer"), (1, 1, "passage"), (1, 1, "question"), (1, 2, "question")]
     assert got[0][3] == "izmir" and part(0, 20) in got[1][3] and got[2][3] == "WHICH Stras-\nse was-long"
+
+
+def test_texts_without_enough_exact_words_are_not_followed():
+    """Neither automaton nor following is paid for where no passage has enough words in exact stretches."""
+
+    class Refusing:
+        def __len__(self):
+            return 1
+
+        def iter(self, letters):
+            raise AssertionError("searched")
+
+    own = Passages(PASSAGES)
+    own.automaton = Refusing()
+    for k in range(10):
+        assert own.search(f"{'qqq xxx ' * 30} {part(k, 8)} {'xxx qqq ' * 30}", 18) == ([], [])
+    with pytest.raises(AssertionError, match="searched"):
+        own.search(f"{'qqq xxx ' * 30} {part(0, 18)}", 18)
+
+
+def test_bounds_before_the_edit_distance_refuse_no_like_words():
+    for w in VOCABULARY * 5:
+        other = noisy(w, 0.3)
+        room, free = 0.34 * len(w) + 0.07, lambda x: not any(m in x or o in x for m, o in GROUPS)
+        if len(w) == len(other) and free(w) and free(other) and len({*w} - {*other}) <= 2 * room + 1:
+            cost = sum(0.4 if f"{a}{b}" in ALIKE.split() or f"{b}{a}" in ALIKE.split() else 1 for a, b in zip(w, other, strict=True) if a != b)
+            assert cost > room or alike(w, other)
